@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import pii, quality_rules
 
 QUERIES = {
+    "op4_pii_boosting": pii.query,
     "op5_quality_rules": quality_rules.query,
 }
 
