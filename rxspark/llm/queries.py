@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import pii, quality_rules
+from . import bpe_queries, packing, pii, quality_rules, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
+    "op2_best_two_fit": packing.query,
     "op4_pii_boosting": pii.query,
     "op5_quality_rules": quality_rules.query,
+    "op7_bpe": bpe_queries.query,
 }
 
 ORACLES: dict[str, str] = {}
