@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_queries, packing, pii, quality_rules, token_counts
+from . import bpe_queries, minhash, packing, pii, quality_rules, token_counts
 
 QUERIES = {
+    "op10_minmax_hash": minhash.query,
     "op1_token_counts": token_counts.query,
     "op2_best_two_fit": packing.query,
     "op4_pii_boosting": pii.query,

@@ -113,7 +113,7 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.nda
         out[ranges(offsets[long], per[long])] = rolled[at]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
         own = h[first[i] : first[i + 1]]
-        out[offsets[i]] = (own * _SHINGLE[: len(own)]).sum(dtype=U) + U(len(own)) * _SHINGLE[k + 1]
+        out[offsets[i]] = np.add.reduce(np.append(own * _SHINGLE[: len(own)], _SHINGLE[k + 1 : k + 2] * U(len(own))))
     return mix(out), offsets
 
 
