@@ -23,7 +23,6 @@ def _table(seed: int, n: int) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES = _table(101, 256)
-_BYTES[_SPACE] = 0
 _LOWER = _BYTES.copy()
 _LOWER[65:91] = _BYTES[97:123]
 _BASE = int(_table(102, 1)[0])
@@ -48,12 +47,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Separators for terms: all of ASCII but letters and digits.
+_TERM = np.ones(256, bool)
+_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Separators for lines.
+_LINE = np.zeros(256, bool)
+_LINE[0x0A] = True
+SEPARATORS = {"words": _SPACE, "terms": _TERM, "lines": _LINE}
+
+
 class Words(NamedTuple):
     data: np.ndarray  # bytes of all texts
     offsets: np.ndarray  # of the texts in data, one more than texts
     starts: np.ndarray  # of the words in data
     ends: np.ndarray
     first: np.ndarray  # index of the first word of each text, one more than texts
+    outside: np.ndarray  # the bytes that are separators
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +76,19 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array) -> Words:
+def words(column: pa.Array, separators: str = "words") -> Words:
     data, offsets = text_bytes(column)
     n = len(data)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[data], out=inside[:n])
+    outside = SEPARATORS[separators][data]
+    np.logical_not(outside, out=inside[:n])
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before = np.zeros(n + 1, bool)
     before[1:] = inside[:n]
     starts = np.flatnonzero(inside & (~before | cut))
     ends = np.flatnonzero(before & (~inside | cut))
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets), outside)
 
 
 def word_hashes(w: Words, lower: bool = True) -> np.ndarray:
@@ -90,9 +100,11 @@ def word_hashes(w: Words, lower: bool = True) -> np.ndarray:
     starts = w.starts - lead
     spans = np.diff(starts, append=len(data))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, spans)
-    place[_SPACE[data]] = 0
+    outside = w.outside[lead:]
+    place[outside] = 0
     size = int((w.ends - w.starts).max())
     value = (_LOWER if lower else _BYTES)[data] * _powers(size)[place]
+    value[outside] = 0
     return mix(np.add.reduceat(value, starts))
 
 
