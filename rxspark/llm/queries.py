@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_queries, minhash, packing, pii, quality_rules, token_counts
+from . import bpe_queries, edit_embedding, minhash, packing, pii, quality_pu, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op10_minmax_hash": minhash.query,
@@ -10,7 +10,10 @@ QUERIES = {
     "op2_best_two_fit": packing.query,
     "op4_pii_boosting": pii.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_toxicity": toxicity.query,
     "op7_bpe": bpe_queries.query,
+    "op8_edit_embedding": edit_embedding.query,
+    "op9_quality_pu": quality_pu.query,
 }
 
 ORACLES: dict[str, str] = {}
