@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a result computed once, which
     survives lost executors.  The table is dropped when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rx-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
