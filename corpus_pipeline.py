@@ -1,16 +1,25 @@
-"""From raw documents to packed training sequences, as stages over the ``documents`` table."""
+"""From raw documents to packed training sequences, as stages over the ``documents`` table.
+
+Each stage gets all rows that the one before it kept and returns the columns of ``documents``; the last returns the packed
+pieces.  Stages are written as Parquet in the shared folder and read again, so a lost executor never costs more than
+the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxspark.llm import base, quality_rules
+from rxspark.llm import base, minhash, packing, pii, quality_pu, quality_rules
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("quality_classifier", quality_pu.stage),
+    ("near_dedup", minhash.stage),
+    ("pii", pii.stage),
+    ("packing", packing.stage),
 ]
 
-#: No SQL: several stages train models or follow links; tests/llm/test_pipeline.py holds the rows against plain Python.
+#: No SQL: stages train models, follow links and pack; tests/llm/test_pipeline.py holds the rows against plain Python.
 ORACLE_SQL = None
 
 

@@ -166,5 +166,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
-    return pack(docs, vocabulary_path())
+    """The packed pieces of all documents with their token ids."""
+    return pack(docs, vocabulary_path(), ids=True)

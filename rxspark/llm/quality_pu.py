@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .base import chunks, materialize, remainder, table
+from .base import chunks, remainder, table
 
 SAMPLE, BINS, STEPS, CUT = 6000, 24, 600, 0.7
 FEATURES = ("symbols", "capitals", "digits", "exclaims", "marks", "wide", "variety", "commonest", "stutter", "window_repeats", "word_length", "line_repeats", "line_length", "log_words")
@@ -82,14 +82,15 @@ def features(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the features of each text."""
+    """``docs`` with the features x of each text in place of the text."""
+    rest = [f for f in docs.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             x = pa.FixedSizeListArray.from_arrays(pa.array(features(batch).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), x], [*(f.name for f in rest), "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "x array<double>"]))
 
 
 class Model(NamedTuple):
@@ -150,39 +151,52 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray) -> Model | None:
     return Model(cuts, *_optimise(p, u, n, prior), prior)
 
 
-def fit(measured: DataFrame, labels: DataFrame, mod: int, held: int, most: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, mod: int, held: int, most: int = SAMPLE) -> Model | None:
+    """The model of two samples of at most ``most`` ids each; only their texts are measured."""
     own = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     own = own.where((F.col("label") == 1) & (remainder(F.col("doc_id"), mod) != held))
-    first = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    positive = measured.join(F.broadcast(first), "doc_id").orderBy("doc_id").select("x")  # at most ``most`` ids
-    unlabelled = measured.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most).select("x")
-    got = [np.array(t.toArrow()["x"].to_pylist(), float).reshape(-1, len(FEATURES)) for t in (positive, unlabelled)]
-    return learn(*got)
+    positive = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    unlabelled = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most)
+    chosen = positive.withColumn("chosen_good", F.lit(True)).union(unlabelled.withColumn("chosen_good", F.lit(False)))
+    got = measure(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).orderBy("doc_id").toArrow()  # chosen: at most 2 * most rows
+    good = got["chosen_good"].to_numpy(zero_copy_only=False)
+    x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
+    return learn(x[good], x[~good])
 
 
-def score(measured: DataFrame, model: Model | None) -> DataFrame:
-    """``measured`` with ``score`` in place of x; other columns pass."""
-    rest = [c for c in measured.columns if c != "x"]
+def apply(model: Model | None, batch: pa.RecordBatch) -> np.ndarray:
+    """The score of each text of a batch."""
+    if model is None:
+        return np.full(batch.num_rows, 0.5)
+    return 1 / (1 + np.exp(-(model.weights[_bins(features(batch), model.cuts)].sum(1) + model.bias)))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, score) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            f = np.zeros(len(x)) if model is None else model.weights[_bins(x, model.cuts)].sum(1) + model.bias
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(1 / (1 + np.exp(-f)))], [*rest, "score"])
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(apply(model, batch), pa.float64())], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, model: Model | None, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that score ``cut`` or more; all of them without a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(apply(model, batch) >= cut, pa.bool_()))
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema if f.name != "x"]
-    return measured.select(*rest, "x").mapInArrow(run, ", ".join([*kinds, "score double"]))
+    return docs if model is None else docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = materialize(measure(table(spark, sf_dir, "documents")), "quality")
-    scored = score(measured, fit(measured, table(spark, sf_dir, "labels"), 4, 2))
-    return scored.withColumns({"held_out": remainder(F.col("doc_id"), 4) == 2, "predicted": (F.col("score") >= CUT).cast("int")})
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels"), 4, 2))
+    return scored.withColumns({"held_out": F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)), "predicted": (F.col("score") >= CUT).cast("int")})
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score CUT or more.  Rejected ids are joined away; documents without an id are kept."""
-    measured = materialize(measure(docs), "quality")
-    scored = score(measured, fit(measured, table(spark, sf_dir, "labels"), 4, 2))
-    low = materialize(scored.where(F.col("score") < CUT).select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    return docs.join(low, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that score CUT or more."""
+    return keep(docs, fit(docs, table(spark, sf_dir, "labels"), 4, 2))

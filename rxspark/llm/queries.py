@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_queries, edit_embedding, minhash, packing, pii, quality_pu, quality_rules, token_counts, toxicity
+from . import bpe_queries, edit_embedding, minhash, ngram_trie, packing, pii, quality_pu, quality_rules, token_counts, toxicity
 
 QUERIES = {
     "op10_minmax_hash": minhash.query,
     "op1_token_counts": token_counts.query,
     "op2_best_two_fit": packing.query,
+    "op3_ngram_trie": ngram_trie.query,
     "op4_pii_boosting": pii.query,
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
