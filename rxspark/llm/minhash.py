@@ -101,25 +101,31 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node reachable.
 
-    Each round replaces a link by links to the least neighbour of its ends and of their parents; parents only fall, and
-    the rounds end when none does.  Joins are on nodes, and a node with very many links is split by adaptive joins; the
-    minima are combined before they are shuffled.  Tables are written each round, so lineage stays short.
+    Each round points every node at its least neighbour, follows the pointers once more, and replaces links by links
+    between the nodes pointed at; links inside one go, so that links shrink fast.  At least half of the nodes that still
+    have links lose them in a round.  Minima are combined before they are shuffled, joins on a node with very many links
+    are split by adaptive execution, and each round's tables are written, so lineage stays short.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    both = materialize(both, name)
-    roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), name)
-    while True:
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").select(F.col("a").alias("node"), "near")
-        # the neighbours' roots reach a node, and also the root it had: whole trees are hooked on at once
-        hooks = near.join(roots, "node").where("near < root").select(F.col("root").alias("node"), "near")
-        lowest = near.union(hooks).groupBy("node").agg(F.min("near").alias("near"))
-        step = roots.join(lowest, "node", "left").select("node", "root", F.least("root", "near").alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("after"))
-        moved = materialize(step.join(jump, "next", "left").select("node", "root", F.least("next", "after").alias("next")), name)
-        done = moved.where("next <> root").isEmpty()
-        roots = moved.select("node", F.col("next").alias("root"))
-        if done:
-            return roots
+
+    def straight(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    edges = materialize(links.where("a <> b").select(*straight("a", "b")).distinct(), name)
+    rounds = []
+    while not edges.isEmpty():
+        lows = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a")).groupBy("node").agg(F.min("near").alias("near"))
+        up = materialize(lows.select("node", F.least("node", "near").alias("up")), name)
+        up = materialize(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")), name)
+        left, right = (up.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")) for x in ("a", "b"))
+        edges = materialize(edges.join(left, "a").join(right, "b").where("up_a <> up_b").select(*straight("up_a", "up_b")).distinct(), name)
+        rounds.append(up)
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = rounds.pop().withColumnRenamed("up", "root")
+    while rounds:
+        later = roots.select(F.col("node").alias("up"), "root")
+        roots = materialize(rounds.pop().join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root")), name)
+    return roots
 
 
 def _forest(sets: list[np.ndarray], split: int | None, percent: int) -> list[tuple[int, int]]:
@@ -231,6 +237,10 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = materialize(keys, "keys")
     links = keys.select(F.col("high").alias("a"), F.col("low").alias("b"))
     links = links.union(bands.join(keys.where("n > 2").select("band", "key", "low"), ["band", "key"]).select(F.col("node").alias("a"), F.col("low").alias("b")))
+    # Of the up to BANDS least members that a set is linked to, it keeps the least; the others are linked to that one.
+    # Such links repeat from set to set, so a group of m sets has little more than m distinct links left.
+    stars = links.groupBy("a").agg(F.collect_set("b").alias("lows")).select("a", F.array_min("lows").alias("b"), "lows")
+    links = stars.select("a", "b").union(stars.select(F.explode("lows").alias("a"), "b").where("a <> b"))
     groups = components(links, "candidates")
     # a doc_id whose rows hold different sets is one node: its sets are all compared
     roots = components(confirm(groups, bands, docs, percent), "links").withColumnRenamed("node", "rep")
