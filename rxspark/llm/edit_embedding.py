@@ -220,7 +220,7 @@ def compare_next(docs: DataFrame) -> DataFrame:
         if last is not None:
             yield batch(last[0], [empty], [1], [last[1]])
 
-    done = materialize(dealt.mapInArrow(run, f"doc_id {kind}, {_COLUMNS}, edge int, text string"), "embedding")
+    done = materialize(dealt.mapInArrow(run, f"doc_id {kind}, {_COLUMNS}, edge int, text string"), "embedding", "zstd")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
