@@ -5,34 +5,40 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
 from . import outputs, regex_ast
 from .matching import compiled
 
 
-@F.pandas_udf("boolean")
+_COMPILED = StructType().add("pattern", StringType()).add("flags", IntegerType()).add("error", StringType())
+_PARSED = StructType().add("solution", StringType()).add("error", StringType())
+_NODES = StructType().add("node_id", IntegerType()).add("parent_id", IntegerType()).add("position", IntegerType()).add("depth", IntegerType()).add("kind", StringType()).add("pattern", StringType())
+
+
+@F.pandas_udf(BooleanType())
 def rx_fullmatch(patterns: pd.Series, texts: pd.Series) -> pd.Series:
     found = [compiled(p)[0] if p is not None else None for p in patterns]
     return pd.Series([None if f is None or t is None else bool(f.fullmatch(t)) for f, t in zip(found, texts, strict=True)], dtype="boolean")
 
 
-@F.pandas_udf("pattern string, flags int, error string")
+@F.pandas_udf(_COMPILED)
 def rx_compile(solutions: pd.Series) -> pd.DataFrame:
     out = pd.DataFrame([regex_ast.compile_json(s) for s in solutions], columns=["pattern", "flags", "error"])
     return out.astype({"flags": "Int32"})
 
 
-@F.pandas_udf("solution string, error string")
+@F.pandas_udf(_PARSED)
 def rx_parse_output(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([outputs.parse(t) for t in texts], columns=["solution", "error"])
 
 
-@F.pandas_udf("solution string, error string")
+@F.pandas_udf(_PARSED)
 def rx_parse_output_strict(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([outputs.parse(t, strict=True) for t in texts], columns=["solution", "error"])
 
 
-@F.udtf(returnType="node_id int, parent_id int, position int, depth int, kind string, pattern string")
+@F.udtf(returnType=_NODES)
 class RxAstNodes:
     def eval(self, solution: str):
         yield from regex_ast.flatten(solution)

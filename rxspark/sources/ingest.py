@@ -7,25 +7,28 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEFAULT_DESCRIPTION = "No description provided"
 MISSING_PROMPT = "fnfe"
+BLANKS = " \t\r\n\x0b\x0c"
 
 
 def scan(spark: SparkSession, path: str, include_temp: bool = False, pattern: str = "*.json") -> DataFrame:
     """(path, file, value): every JSON file below ``path`` with its whole text; checkpoint folders are left out."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
     return files if include_temp else files.where(~F.col("path").contains("temp_results"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_json(texts: pd.Series) -> pd.Series:
-    """JSON as Python reads it (repeated keys, NaN), written again plainly; null if it can't be read."""
+    """JSON as Python reads it (the last of repeated keys; NaN, here any number), written again plainly; null if it can't be
+    read."""
 
     def one(text: str) -> str | None:
         try:
-            return json.dumps(json.loads(text))
+            return json.dumps(json.loads(text, parse_constant=lambda _: 0))
         except (ValueError, RecursionError):
             return None
 
@@ -62,7 +65,7 @@ def count_entries(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def split_examples(text: Column) -> Column:
     """Lines, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
 def hub_seeds(table: DataFrame) -> DataFrame:
@@ -79,8 +82,8 @@ def puzzle_line(line: Column) -> tuple[Column, Column]:
 
 def puzzle_seeds(spark: SparkSession, path: str) -> DataFrame:
     """(line, regex, flags, description, examples) of a file of puzzle lines; blank lines and comments are skipped."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "raw"))
-    lines = lines.select((F.col("at") + 1).alias("line"), F.trim("raw").alias("text")).where("text <> '' and not startswith(text, '#')")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "raw"))
+    lines = lines.select((F.col("at") + 1).alias("line"), F.trim("raw", F.lit(BLANKS)).alias("text")).where("text <> '' and not startswith(text, '#')")
     regex, flags = puzzle_line(F.col("text"))
     about = F.concat(F.lit("Regex puzzle from line "), "line", F.when(F.col("flags") != "", F.concat(F.lit(" with flags: "), "flags")).otherwise(""))
     return lines.select("line", regex.alias("regex"), flags.alias("flags")).withColumns({"description": about, "examples": F.array().cast("array<string>")})
