@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textscan
 from .base import chunks, remainder, table
 
-SAMPLE, LEAST, STEPS, PENALTY = 3000, 3, 250, 0.017
+SAMPLE, LEAST, STEPS, PENALTY = 2000, 3, 250, 0.017
 _END = np.zeros(256, bool)
 _END[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
