@@ -40,13 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", buckets: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a result computed once, which
-    survives lost executors.  The table is dropped when the driver's Python ends."""
+    survives lost executors.  The table is dropped when the driver's Python ends.  ``buckets``: a column and a
+    number of buckets; grouping by that column then needs no shuffle."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rx-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
     atexit.register(_drop, spark, path)
+    if buckets:
+        named = f"rx_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets[1], buckets[0]).option("path", path).option("compression", compression).saveAsTable(named)
+        return spark.table(named)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,7 +40,7 @@ from .base import chunks, materialize, partitions_for, remainder, table
 from .elias_fano import VALUES, Trie, quantise
 from .textscan import U, mix, ranges
 
-HOT, BLOCK_BYTES, SHARD_WINDOWS, REGISTERS = 256, 8 << 20, 800_000, 12
+HOT, BLOCK_BYTES, SHARD_WINDOWS, REGISTERS = 256, 8 << 20, 500_000, 12
 _NONE, _BEGIN, _END = 0, 1, 2  # in place of word hashes, and their indices in every vocabulary
 
 
@@ -70,6 +70,26 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 # -- blocks ---------------------------------------------------------------------------------------------------------
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, first all lowest ones, then the next: they compress better apart."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).ravel()
+
+
+def _whole(planes: np.ndarray, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
+
+
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, words of each text), by small slices: hashing needs many times a slice's bytes."""
+    hashes, counts = [np.zeros(0, U)], []
+    for part in chunks(iter([batch]), most=1 << 20):
+        w = textscan.words(part.column("text"))
+        hashes.append(textscan.word_hashes(w))
+        counts.append(np.diff(w.first))
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def blocks(docs: DataFrame, train: Column) -> DataFrame:
     """(block, tokens, ids, data): data holds the vocabulary, the word indices with begin and end of each text, the texts' sizes
     and whether each is trained on."""
@@ -78,9 +98,7 @@ def blocks(docs: DataFrame, train: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in chunks(batches, most=BLOCK_BYTES):
-            w = textscan.words(batch.column("text"))
-            h = textscan.word_hashes(w)
-            counts = np.diff(w.first)
+            h, counts = _hashes(batch)
             sizes = counts + 2
             begin = np.cumsum(sizes) - sizes
             flat = np.empty(int(sizes.sum()), U)
@@ -88,7 +106,11 @@ def blocks(docs: DataFrame, train: Column) -> DataFrame:
             flat[ranges(begin + 1, counts)] = h
             vocabulary, index = np.unique(np.append(np.array([_NONE, _BEGIN, _END], U), flat), return_inverse=True)
             own = batch.column("train").fill_null(False).to_numpy(zero_copy_only=False)
-            data = _pack(vocabulary, index[3:].astype(np.uint16 if len(vocabulary) <= 65536 else np.uint32), sizes.astype(np.uint32), own)
+            # Words go by their frequency in the block: the higher bytes of most are 0.
+            order = np.argsort(-np.bincount(index[3:], minlength=len(vocabulary)), kind="stable").astype(np.uint32)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            data = _pack(_planes(np.diff(vocabulary, prepend=U(0))), _planes(order), _planes(rank[index[3:]]), sizes.astype(np.uint32), own)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type)), pa.array([data], pa.binary())], ["block", "tokens", "ids", "data"])
             number += 1
 
@@ -109,16 +131,38 @@ class Hot(NamedTuple):
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
+    def correct(self, words: np.ndarray, counts: np.ndarray, parent: np.ndarray, second: np.ndarray, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and of pairs (place in words, 32 bits of the other), with those of frequent words and of their
+        pairs with each other put in: a shard sees but a part of them."""
+        place = self.place(words)
+        if len(self.counts):
+            counts = np.where(place >= 0, self.counts[place], counts)
+        if len(self.pairs) and len(parent):
+            short = _short(self.words).astype(np.int64)
+            order = np.argsort(short, kind="stable")
+            near = np.minimum(np.searchsorted(short[order], second), len(short) - 1)
+            other = np.where(short[order][near] == second, order[near], -1)
+            key = np.where((place[parent] >= 0) & (other >= 0), place[parent] * HOT + other, -1)
+            i = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            pair_counts = np.where(self.pairs[i] == key, self.pair_counts[i], pair_counts)
+        return counts, pair_counts
+
 
 def _short(words: np.ndarray) -> np.ndarray:
     """32 bits that stand for a word within its context."""
     return np.where(words <= _END, words, words >> U(32)).astype(np.uint32)
 
 
+def _tiny(words: np.ndarray) -> np.ndarray:
+    """24 bits that stand for a word after two others."""
+    return np.where(words <= _END, words, np.maximum(words >> U(40), U(_END + 1))).astype(np.uint32)
+
+
 def _trained(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(vocabulary, index, sizes, whether each token is in a training text)."""
-    vocabulary, index, sizes, own = _unpack(data)
-    return vocabulary, index.astype(np.int64), sizes.astype(np.int64), np.repeat(own, sizes.astype(np.int64))
+    steps, order, ranks, sizes, own = _unpack(data)
+    index = _whole(order, np.uint32).astype(np.int64)[_whole(ranks, np.uint32)]
+    return np.cumsum(_whole(steps, np.uint64)), index, sizes.astype(np.int64), np.repeat(own, sizes.astype(np.int64))
 
 
 def frequent(skeleton: DataFrame) -> tuple[Hot, int, int]:
@@ -233,7 +277,7 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 vocabulary, *rest = _trained(data.as_py())
                 x = _windows(vocabulary, *rest, hot, shards)
-                short = _short(vocabulary)
+                short, tiny = _short(vocabulary), _tiny(vocabulary)
                 number, out = [], []
                 for s in range(shards):
                     a, b = int(x.cuts[s]), int(x.cuts[s + 1])
@@ -244,13 +288,19 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
                     small = np.diff(np.flatnonzero(one[two]), append=len(begin)).astype(np.uint32), np.diff(begin, append=b - a).astype(np.uint32)
                     counts = x.trained[a:b]
                     counts = counts.astype(np.min_scalar_type(int(counts.max())))
-                    out.append(_pack(vocabulary[x.u[a:b][one]], short[x.v[a:b][two]], short[x.w[a:b]], *(c.astype(np.min_scalar_type(int(c.max()))) for c in small), counts))
+                    out.append(_pack(vocabulary[x.u[a:b][one]], short[x.v[a:b][two]], _planes(tiny[x.w[a:b]])[: 3 * (b - a)], *(c.astype(np.min_scalar_type(int(c.max()))) for c in small), counts))
                     number.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([block] * len(number), pa.int64()), pa.array(out, pa.binary())], ["shard", "block", "data"])
 
     return skeleton.mapInArrow(run, "shard int, block long, data binary")
 
 
+def _received(data: bytes) -> list[np.ndarray]:
+    part = _unpack(data)
+    part[2] = _whole(np.append(part[2], np.zeros(len(part[2]) // 3, np.uint8)), np.uint32)
+    return part
+
+
 def build(parts: list[list[np.ndarray]], hot: Hot) -> Trie:
     """The trie of the windows that were counted in training: parts of (words, seconds, thirds, children, children, counts)."""
     u = np.concatenate([np.repeat(np.repeat(p[0], p[3]), p[4]) for p in parts])
@@ -264,48 +314,43 @@ def build(parts: list[list[np.ndarray]], hot: Hot) -> Trie:
     third, at3 = np.unique(at2 << 32 | w, return_inverse=True)
     c1, c2, c3 = np.bincount(at, c, len(words)), np.bincount(at2, c, len(second)), np.bincount(at3, c, len(third))
     parent, parent2 = second >> 32, third >> 32
-    # Frequent words are spread over shards: their counts, and those of their pairs with each other, come from outside.
-    place = hot.place(words)
-    c1 = np.where(place >= 0, hot.counts[place] if len(hot.counts) else 0, c1)
-    if len(hot.pairs):
-        short = _short(hot.words).astype(np.int64)
-        order = np.argsort(short, kind="stable")
-        near = np.minimum(np.searchsorted(short[order], second & 0xFFFFFFFF), len(short) - 1)
-        other = np.where(short[order][near] == second & 0xFFFFFFFF, order[near], -1)
-        key = place[parent] * HOT + other
-        i = np.minimum(np.searchsorted(hot.pairs, key), len(hot.pairs) - 1)
-        c2 = np.where((place[parent] >= 0) & (other >= 0) & (hot.pairs[i] == key), hot.pair_counts[i], c2)
+    c1, c2 = hot.correct(words, c1, parent, second & 0xFFFFFFFF, c2)
     m1, m2 = _damp(c1), _damp(c2)
-    codes = {"rest": quantise(m1 / (c1 + m1)), "pair": quantise(c2 / (c1 + m1)[parent]), "rest2": quantise(m2 / (c2 + m2)), "triple": quantise(c3 / (c2 + m2)[parent2])}
+    codes = {"pair": quantise(c2 / (c1 + m1)[parent]), "rest2": quantise(m2 / (c2 + m2)), "triple": quantise(c3 / (c2 + m2)[parent2])}
     begin = np.searchsorted(parent, np.arange(len(words) + 1))
     begin2 = np.searchsorted(parent2, np.arange(len(second) + 1))
     return Trie(words, second, third, begin, begin2, c1.astype(np.int64), codes)
 
 
-def answer(trie: Trie, part: list[np.ndarray]) -> bytes:
-    """For a part's words their counts and codes, for its pairs and triples their codes."""
+def answer(trie: Trie, part: list[np.ndarray], hot: Hot) -> bytes:
+    """For a part's words their counts, for its pairs and triples their codes."""
     words, second, third, children, children2, _ = part
     children, children2 = children.astype(np.int64), children2.astype(np.int64)
     one = trie.nodes(words)
-    two = trie.pairs(np.repeat(one, children), second)
+    parent = np.repeat(np.arange(len(words)), children)
+    two = trie.pairs(one[parent], second)
     three = trie.triples(np.repeat(two, children2), third)
 
     def at(values: np.ndarray, place: np.ndarray, other: int) -> np.ndarray:
         return np.where(place >= 0, values[np.maximum(place, 0)], other).astype(values.dtype) if len(values) else np.full(len(place), other, values.dtype)
 
-    codes = trie.codes
-    return _pack(at(trie.count, one, 0), at(codes["rest"], one, 1), at(codes["pair"], two, 0), at(codes["rest2"], two, 1), at(codes["triple"], three, 0))
+    # frequent words and pairs may be missing in this shard and yet have been counted elsewhere
+    count, known = hot.correct(words, at(trie.count, one, 0), parent, second.astype(np.int64), np.full(len(parent), -1, np.int64))
+    c1, m1, m2 = count[parent], _damp(count)[parent], _damp(known)
+    pair = np.where(known > 0, quantise(np.maximum(known, 0) / (c1 + m1)), at(trie.codes["pair"], two, 0))
+    rest2 = np.where(known > 0, quantise(m2 / (np.maximum(known, 0) + m2)), at(trie.codes["rest2"], two, 1))
+    return _pack(count.astype(np.min_scalar_type(int(count.max()))), pair, rest2, at(trie.codes["triple"], three, 0))
 
 
 def replies(sent: DataFrame, hot: Hot) -> DataFrame:
     """(block, shard, data): the answers of each shard; under block -1 - shard, how many words it alone was trained on."""
 
     def run(rows: pa.Table) -> pa.Table:
-        parts = [_unpack(x.as_py()) for x in rows.column("data")]
+        parts = [_received(x.as_py()) for x in rows.column("data")]
         trie = build(parts, hot)
         shard = rows.column("shard")[0].as_py()
         own = int((~np.isin(trie.words.get(np.arange(trie.words.n)), hot.words)).sum())  # words that no other shard has
-        out = [*[answer(trie, p) for p in parts], _pack(np.array([own]))]
+        out = [*[answer(trie, p, hot) for p in parts], _pack(np.array([own]))]
         return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1 - shard], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "data": pa.array(out, pa.binary())})
 
     return sent.groupBy("shard").applyInArrow(run, "block long, shard int, data binary")
@@ -317,30 +362,29 @@ def replies(sent: DataFrame, hot: Hot) -> DataFrame:
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document; ``train`` says which are learnt."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    skeleton = materialize(blocks(docs, train), "blocks")
+    skeleton = materialize(blocks(docs, train), "blocks", buckets=("block", partitions_for(docs.sparkSession)))
     hot, tokens, distinct = frequent(skeleton)
     shards = max(partitions_for(docs.sparkSession), (skeleton.agg(F.sum("tokens")).first()[0] or 0) // SHARD_WINDOWS)
     back = replies(messages(skeleton, hot, shards), hot)
     known, unknown = (1 / (tokens + distinct), distinct / (tokens + distinct)) if tokens else (0.0, 1.0)
     columns = f"doc_id {kind}, n_tokens long, n_known long, logs double, score double, words long"
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
         shard = rows.column("shard").to_numpy()
-        head = np.flatnonzero(shard < 0)
-        of_id = rows.schema.field("ids").type.value_type
-        if not len(head):
+        of_id = own.schema.field("ids").type.value_type
+        if not own.num_rows:
             n = int(_unpack(rows.column("data")[0].as_py())[0][0])
             return pa.table({"doc_id": pa.nulls(1, of_id), "n_tokens": pa.nulls(1, pa.int64()), "n_known": pa.nulls(1, pa.int64()), "logs": pa.nulls(1, pa.float64()), "score": pa.nulls(1, pa.float64()), "words": pa.array([n], pa.int64())})
-        head = int(head[0])
-        vocabulary, index, sizes, trained = _trained(rows.column("data")[head].as_py())
+        vocabulary, index, sizes, trained = _trained(own.column("data")[0].as_py())
         x = _windows(vocabulary, index, sizes, trained, hot, shards)
         n = len(x.u)
-        count, rest, pair, rest2, triple = np.zeros(n, np.int64), *(np.zeros(n, np.uint8) for _ in range(4))
-        for i in np.flatnonzero(shard >= 0).tolist():
+        count, pair, rest2, triple = np.zeros(n, np.int64), *(np.zeros(n, np.uint8) for _ in range(3))
+        for i in range(len(shard)):
             a, b = int(x.cuts[shard[i]]), int(x.cuts[shard[i] + 1])
             one, two = (np.cumsum(f) - 1 for f in _levels(x.u[a:b], x.v[a:b]))
             got = _unpack(rows.column("data")[i].as_py())
-            count[a:b], rest[a:b], pair[a:b], rest2[a:b], triple[a:b] = got[0][one], got[1][one], got[2][two], got[3][two], got[4]
+            count[a:b], pair[a:b], rest2[a:b], triple[a:b] = got[0][one], got[1][two], got[2][two], got[3]
+        rest = quantise(_damp(count) / (count + _damp(count)))
         count, rest, pair, rest2, triple = (y[x.back] for y in (count, rest, pair, rest2, triple))
         begin = np.cumsum(sizes) - sizes
         inner = np.ones(len(index), bool)
@@ -353,11 +397,11 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         p[second] = VALUES[triple[far]] + VALUES[rest2[far]] * p[second]
         doc, m = np.repeat(np.arange(len(sizes)), sizes - 1), len(sizes)
         sums = [np.bincount(doc, y, m) for y in (c > 0, np.log10(c + 0.5), np.log10(np.maximum(p, 1e-300)))]
-        ids = rows.column("ids").combine_chunks()[head].values
+        ids = own.column("ids")[0].values
         return pa.table({"doc_id": ids, "n_tokens": pa.array(sizes - 1, pa.int64()), "n_known": pa.array(sums[0].astype(np.int64)), "logs": pa.array(sums[1]), "score": pa.array(sums[2]), "words": pa.nulls(m, pa.int64())})
 
-    both = skeleton.select("block", F.lit(-1).alias("shard"), "ids", "data").union(back.select("block", "shard", F.lit(None).cast(f"array<{kind}>").alias("ids"), "data"))
-    done = materialize(both.groupBy("block").applyInArrow(run, columns), "scores")
+    # The blocks lie in buckets by their number and stay where they are; only the answers move.
+    done = materialize(skeleton.select("block", "ids", "data").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, columns), "scores")
     words = (done.agg(F.sum("words")).first()[0] or 0) + int((hot.counts[1:] > 0).sum())  # the first is the begin
     whole = float(np.log10(tokens + 0.5 * (words + 1)))
     return done.where("words is null").select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * whole).alias("base_score"), "score")
