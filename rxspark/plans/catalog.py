@@ -46,13 +46,11 @@ PART_PATTERNS = [(0, "Brand#[1-3][0-9]*"), (1, "Brand#1[0-9]"), (2, "Brand#.*"),
 _VALUES = lambda rows: ", ".join(f"({i}, '{p}')" for i, p in rows)
 
 
-def _candidates(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "candidate_idx int, pattern string"))  # a handful of rows
-
-
-def _matched(strings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates against labelled, counted strings (label, s, n): distinct strings are few, so they are counted first."""
-    return strings.crossJoin(candidates).withColumn("matched", F.expr(r"s rlike concat('\\A(?:', pattern, ')\\z')"))
+def _matched(strings: DataFrame, candidates: list[tuple[int, str]]) -> DataFrame:
+    """Candidates against labelled, counted strings (label, s, n): distinct strings are few, so they are counted first, and
+    each brings the handful of candidates along."""
+    each = F.array(*(F.struct(F.lit(i).alias("candidate_idx"), F.lit(p).alias("pattern")) for i, p in candidates))
+    return strings.select("*", F.inline(each)).withColumn("matched", F.expr(r"s rlike concat('\\A(?:', pattern, ')\\z')"))
 
 
 def _counts(matched: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +62,7 @@ def _counts(matched: DataFrame, *keys: str) -> DataFrame:
 def _event_counts(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     events = _read(spark, sf_dir, "events").withColumn("label", F.when(F.col("event_type").isin("purchase", "signup"), "yes").otherwise("no"))
     strings = events.groupBy(*keys, "label", F.col("event_type").alias("s")).agg(F.count("*").alias("n"))
-    return score.with_metrics(_counts(_matched(strings, _candidates(spark, EVENT_PATTERNS)), *keys))
+    return score.with_metrics(_counts(_matched(strings, EVENT_PATTERNS), *keys))
 
 
 def _event_sql(keys: str = "") -> str:
@@ -125,7 +123,7 @@ def _part_scores(spark, sf_dir):
     """Every type's brands, those of the first three series labelled yes, against the part patterns."""
     parts = _read(spark, sf_dir, "part").groupBy("p_type", F.col("p_brand").alias("s")).agg(F.count("*").alias("n"))
     parts = parts.withColumn("label", F.when(F.col("s").rlike("^Brand#[1-3]"), "yes").otherwise("no"))
-    e = score.with_metrics(_counts(_matched(parts, _candidates(spark, PART_PATTERNS)), "p_type"))
+    e = score.with_metrics(_counts(_matched(parts, PART_PATTERNS), "p_type"))
     value = score.reward(F.lit(True), F.col("is_perfect"), F.col("accuracy"), F.length("pattern"), "fractional")
     return e.withColumns({"is_valid": F.lit(True), "reward": value, "pattern_length": F.length("pattern")})
 
@@ -380,7 +378,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three candidates for the order priorities of every status, scored, normalised and ranked."""
     o = _read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("problem_id"), F.col("o_orderpriority").alias("s")).agg(F.count("*").alias("n"))
     o = o.withColumn("label", F.when(F.col("s").rlike("^[12]"), "yes").otherwise("no"))
-    e = score.with_metrics(_counts(_matched(o, _candidates(spark, [(0, "[1-2]-.*"), (1, "1-URGENT"), (2, ".*[A-Z]+")])), "problem_id"))
+    e = score.with_metrics(_counts(_matched(o, [(0, "[1-2]-.*"), (1, "1-URGENT"), (2, ".*[A-Z]+")]), "problem_id"))
     value = score.reward(F.lit(True), F.col("is_perfect"), F.col("accuracy"), F.length("pattern"))
     scored = score.normalised(e.withColumns({"is_valid": F.lit(True), "reward": value, "pattern_length": F.length("pattern")}), ["problem_id"])
     best = score.problem_stats(scored).select("problem_id", F.col("best_solution.candidate_idx").alias("best_idx"))
