@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the Arrow operators; one longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _own_dir: list[str] = []
 
@@ -81,6 +84,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task beside the executor's JVM, and what
+    their allocators keep counts against the same container."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

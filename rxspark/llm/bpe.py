@@ -21,7 +21,7 @@ import numpy as np
 from .textscan import U, mix, ranges
 
 #: Words kept in a worker's table; beyond it the table starts anew (only speed depends on it).
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 600_000
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 #: White space of the library's pattern engine.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .base import chunks, materialize, partitions_for, table
+from .base import chunks, materialize, partitions_for, release, table
 from .textscan import U, mix
 
 WORDS, PERCENT, ROWS, BANDS = 5, 75, 6, 48
@@ -222,6 +222,7 @@ def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int
             for p, q in _forest(sets, split, percent):
                 a.append(nodes[one[p]])
                 b.append(nodes[one[q]])
+        release()
         return pa.table({"a": pa.array(a, rows.schema.field("node").type), "b": pa.array(b, rows.schema.field("node").type)})
 
     return work.groupBy("task").applyInArrow(decide, f"a {kind}, b {kind}")
