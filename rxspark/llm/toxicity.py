@@ -88,19 +88,20 @@ def fit(rows: DataFrame) -> Model | None:
         return None
     terms = [np.frombuffer(x, "<u8") for x in got["terms"].to_pylist()]
     inner = [np.frombuffer(x, "<u4") for x in got["sentences"].to_pylist()]
-    once = np.concatenate([np.unique(x) for x in terms])
-    kept, often = np.unique(once, return_counts=True)
+    kept, often = np.unique(np.concatenate([np.unique(x) for x in terms]), return_counts=True)
     kept = kept[often >= LEAST]
     if not len(kept):
         return None
     sizes = np.array([int(x.max()) + 1 if len(x) else 0 for x in inner])
     base = np.cumsum(sizes) - sizes
-    sentence = np.concatenate([x + b for x, b in zip(inner, base.tolist(), strict=True)]).astype(np.int64)
-    flat = np.concatenate(terms)
-    at = np.minimum(np.searchsorted(kept, flat), len(kept) - 1)
-    has = kept[at] == flat
+    term, sentence = [], []
+    for x, s, b in zip(terms, inner, base.tolist(), strict=True):
+        at = np.minimum(np.searchsorted(kept, x), len(kept) - 1)
+        has = kept[at] == x
+        term.append(at[has].astype(np.int32))
+        sentence.append((s[has] + b).astype(np.int32))
+    term, sentence = np.concatenate(term), np.concatenate(sentence)
     doc, penalty, weight = np.repeat(np.arange(len(sizes)), sizes), PENALTY / np.sqrt(len(label)), weight / weight.mean()
-    term, sentence = at[has], sentence[has]
     first, _ = _train(term, sentence, doc, label, weight, len(kept), penalty)
     left = np.flatnonzero(first)
     has = first[term] != 0
