@@ -253,7 +253,7 @@ def escape_literal(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", register.escape_literal(F.col("url")).alias("escaped"))
 
 
-@_query("""SELECT DISTINCT l_linenumber AS low, CASE WHEN p_size % 3 = 0 THEN NULL ELSE l_linenumber + p_size % 3 - 1 END AS high,
+@_query("""SELECT DISTINCT l_linenumber AS low, CASE WHEN p_size % 3 = 0 THEN -1 ELSE l_linenumber + p_size % 3 - 1 END AS high,
     CASE WHEN p_size % 3 = 0 THEN CASE l_linenumber WHEN 1 THEN '+' ELSE '{' || l_linenumber || ',}' END
          WHEN p_size % 3 = 1 THEN '{' || l_linenumber || '}' ELSE '{' || l_linenumber || ',' || (l_linenumber + 1) || '}' END AS suffix
     FROM lineitem JOIN part ON l_partkey = p_partkey""")
@@ -261,7 +261,7 @@ def quantifier_render(spark, sf_dir):
     part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     li = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber").join(part, "l_partkey")
     pairs = li.select(F.col("l_linenumber").alias("low"), F.when(F.col("p_size") % 3 != 0, F.col("l_linenumber") + F.col("p_size") % 3 - 1).alias("high")).distinct()
-    return pairs.select("low", "high", register.quantifier(F.col("low"), F.col("high")).alias("suffix"))
+    return pairs.select("low", F.coalesce("high", F.lit(-1)).alias("high"), register.quantifier(F.col("low"), F.col("high")).alias("suffix"))
 
 
 @_query("""WITH r AS (SELECT DISTINCT p_brand, p_size AS a, p_size + p_partkey % 3 AS b FROM part),
@@ -282,11 +282,11 @@ def charset_canonical(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(chars, ""), F.lit("]")).alias("charset"))
 
 
-@_query("""SELECT c_custkey, f AS flags, CASE WHEN regexp_full_match(f, '[imsa]*') THEN CAST((CASE WHEN contains(f, 'i') THEN 2 ELSE 0 END) + (CASE WHEN contains(f, 'm') THEN 8 ELSE 0 END)
+@_query("""SELECT c_custkey, f AS flags, CASE WHEN NOT regexp_full_match(f, '[imsa]*') THEN CAST(-1 AS BIGINT) ELSE CAST((CASE WHEN contains(f, 'i') THEN 2 ELSE 0 END) + (CASE WHEN contains(f, 'm') THEN 8 ELSE 0 END)
     + (CASE WHEN contains(f, 's') THEN 16 ELSE 0 END) + (CASE WHEN contains(f, 'a') THEN 256 ELSE 0 END) AS BIGINT) END AS bits FROM (SELECT c_custkey, lower(substring(c_mktsegment, 2, c_custkey % 3)) AS f FROM customer)""")
 def flag_bits(spark, sf_dir):
     c = _read(spark, sf_dir, "customer").select("c_custkey", F.lower(F.expr("substring(c_mktsegment, 2, cast(c_custkey % 3 as int))")).alias("flags"))
-    return c.select("c_custkey", "flags", register.flag_bits(F.col("flags")).cast("bigint").alias("bits"))
+    return c.select("c_custkey", "flags", F.coalesce(register.flag_bits(F.col("flags")), F.lit(-1)).cast("bigint").alias("bits"))
 
 
 @_query("SELECT doc_id, CASE WHEN length(text) > 128 THEN 'pattern too long: ' || length(text) || ' > 128' END AS error FROM documents")
