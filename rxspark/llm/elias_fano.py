@@ -103,17 +103,18 @@ class Sequence:
         return np.where(found, a, -1)
 
 
-#: Steps a decade of quantised probabilities; code 0 is zero, and codes round down, so that sums stay at 1 or less.
-STEPS = 36
+#: Steps a decade of quantised probabilities, and decades: quotients of 64-bit counts stay over 1e-20, so that nothing that
+#: was counted becomes zero.  Code 0 is zero, and codes round down, so that sums stay at 1 or less.
+STEPS, DECADES = 36, 20
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         code = np.ceil(-np.log10(np.maximum(p, 1e-300)) * STEPS - 1e-9) + 1
-    return np.where((p > 0) & (code < 256), np.maximum(code, 1), 0).astype(np.uint8)
+    return np.where((p > 0) & (code < len(VALUES)), np.maximum(code, 1), 0).astype(np.uint16)
 
 
-VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
+VALUES = np.concatenate([[0.0], 10.0 ** (-np.arange(STEPS * DECADES + 1) / STEPS)])
 
 
 class Trie:

@@ -339,7 +339,7 @@ def answer(trie: Trie, part: list[np.ndarray], hot: Hot) -> bytes:
     c1, m1, m2 = count[parent], _damp(count)[parent], _damp(known)
     pair = np.where(known > 0, quantise(np.maximum(known, 0) / (c1 + m1)), at(trie.codes["pair"], two, 0))
     rest2 = np.where(known > 0, quantise(m2 / (np.maximum(known, 0) + m2)), at(trie.codes["rest2"], two, 1))
-    return _pack(count.astype(np.min_scalar_type(int(count.max()))), pair, rest2, at(trie.codes["triple"], three, 0))
+    return _pack(count.astype(np.min_scalar_type(int(count.max()))), *map(_planes, (pair, rest2, at(trie.codes["triple"], three, 0))))
 
 
 def replies(sent: DataFrame, hot: Hot) -> DataFrame:
@@ -378,12 +378,13 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         vocabulary, index, sizes, trained = _trained(own.column("data")[0].as_py())
         x = _windows(vocabulary, index, sizes, trained, hot, shards)
         n = len(x.u)
-        count, pair, rest2, triple = np.zeros(n, np.int64), *(np.zeros(n, np.uint8) for _ in range(3))
+        count, pair, rest2, triple = np.zeros(n, np.int64), *(np.zeros(n, np.uint16) for _ in range(3))
         for i in range(len(shard)):
             a, b = int(x.cuts[shard[i]]), int(x.cuts[shard[i] + 1])
             one, two = (np.cumsum(f) - 1 for f in _levels(x.u[a:b], x.v[a:b]))
-            got = _unpack(rows.column("data")[i].as_py())
-            count[a:b], pair[a:b], rest2[a:b], triple[a:b] = got[0][one], got[1][two], got[2][two], got[3]
+            got, *codes = _unpack(rows.column("data")[i].as_py())
+            codes = [_whole(y, np.uint16) for y in codes]
+            count[a:b], pair[a:b], rest2[a:b], triple[a:b] = got[one], codes[0][two], codes[1][two], codes[2]
         rest = quantise(_damp(count) / (count + _damp(count)))
         count, rest, pair, rest2, triple = (y[x.back] for y in (count, rest, pair, rest2, triple))
         begin = np.cumsum(sizes) - sizes

@@ -205,6 +205,22 @@ def test_frequent_words_are_spread(spark, monkeypatch):
     _compare(ngram_trie.score(df, F.col("doc_id") % 3 > 0).collect(), [(i, *e) for (i, _), e in zip(rows, expected, strict=True)])
 
 
+def test_rare_after_very_frequent():
+    """A context with 2.5e8 occurrences: what was seen ten times after it keeps its count, in the trie and from frequent words."""
+    rows = [np.array([100 << 32], np.uint64), np.array([7, 8], np.uint32), np.array([9, 5, 6], np.uint32), np.array([2]), np.array([1, 2]), np.array([10, 250_000_000, 1])]
+    none = np.zeros(0, np.int64)
+    c1, c2 = 250_000_011, np.array([10, 250_000_001])
+    damp = lambda c: 4 * c**0.7
+    frequent = ngram_trie.Hot(np.array([7 << 32, 100 << 32], np.uint64), np.array([10, c1]), np.array([ngram_trie.HOT]), np.array([10]))
+    for hot in (ngram_trie.Hot(np.zeros(0, np.uint64), none, none, none), frequent):
+        count, *codes = ngram_trie._unpack(ngram_trie.answer(ngram_trie.build([rows], hot), rows, hot))
+        pair, rest2, triple = (elias_fano.VALUES[ngram_trie._whole(x, np.uint16)] for x in codes)
+        assert count.tolist() == [c1]
+        for found, true in ((pair, c2 / (c1 + damp(c1))), (rest2, damp(c2) / (c2 + damp(c2))), (triple, np.array([10, 250_000_000, 1]) / (c2 + damp(c2))[[0, 1, 1]])):
+            assert (found <= true * (1 + 1e-9)).all() and (found > 0.93 * true).all()
+    assert (elias_fano.quantise(1 / np.array([1e7, 1e9, 1e15, 2.0**63])) > 0).all()
+
+
 # -- 4: personal data -----------------------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
