@@ -7,7 +7,8 @@ Model: interpolated trigrams.  A text is (begin) t1 ... tn (end), and
     p1(w) = c(w) / (N + V') for a known word, V' / (N + V') for an unknown one
 
 with counts c and N training tokens; V' estimates the distinct training words (HyperLogLog over all of them), so the share of
-unknown words is Witten and Bell's.  q and l are quantised to codes that round down: the model never sums to over 1.
+unknown words is Witten and Bell's.  q and l are quantised to codes that round down, so the model does not sum to over 1, but for words whose 32 bits coincide
+within a context: they share the sum of their counts, with a chance of children / 2**32 for each.
 
 Execution, with nothing of the corpus's size on the driver or in a broadcast:
 
@@ -149,15 +150,10 @@ class Hot(NamedTuple):
 
 
 def _short(words: np.ndarray) -> np.ndarray:
-    """32 bits that stand for a word within its context."""
+    """32 bits that stand for a word after one or two others."""
     return np.where(words <= _END, words, words >> U(32)).astype(np.uint32)
 
 
-def _tiny(words: np.ndarray) -> np.ndarray:
-    """24 bits that stand for a word after two others."""
-    return np.where(words <= _END, words, np.maximum(words >> U(40), U(_END + 1))).astype(np.uint32)
-
-
 def _trained(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(vocabulary, index, sizes, whether each token is in a training text)."""
     steps, order, ranks, sizes, own = _unpack(data)
@@ -277,7 +273,7 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 vocabulary, *rest = _trained(data.as_py())
                 x = _windows(vocabulary, *rest, hot, shards)
-                short, tiny = _short(vocabulary), _tiny(vocabulary)
+                short = _short(vocabulary)
                 number, out = [], []
                 for s in range(shards):
                     a, b = int(x.cuts[s]), int(x.cuts[s + 1])
@@ -288,7 +284,7 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
                     small = np.diff(np.flatnonzero(one[two]), append=len(begin)).astype(np.uint32), np.diff(begin, append=b - a).astype(np.uint32)
                     counts = x.trained[a:b]
                     counts = counts.astype(np.min_scalar_type(int(counts.max())))
-                    out.append(_pack(vocabulary[x.u[a:b][one]], short[x.v[a:b][two]], _planes(tiny[x.w[a:b]])[: 3 * (b - a)], *(c.astype(np.min_scalar_type(int(c.max()))) for c in small), counts))
+                    out.append(_pack(vocabulary[x.u[a:b][one]], short[x.v[a:b][two]], _planes(short[x.w[a:b]]), *(c.astype(np.min_scalar_type(int(c.max()))) for c in small), counts))
                     number.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([block] * len(number), pa.int64()), pa.array(out, pa.binary())], ["shard", "block", "data"])
 
@@ -297,7 +293,7 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
 
 def _received(data: bytes) -> list[np.ndarray]:
     part = _unpack(data)
-    part[2] = _whole(np.append(part[2], np.zeros(len(part[2]) // 3, np.uint8)), np.uint32)
+    part[2] = _whole(part[2], np.uint32)
     return part
 
 

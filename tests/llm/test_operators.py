@@ -221,6 +221,18 @@ def test_rare_after_very_frequent():
     assert (elias_fano.quantise(1 / np.array([1e7, 1e9, 1e15, 2.0**63])) > 0).all()
 
 
+def test_third_words_are_told_apart(spark):
+    """Two words whose hashes agree in 24 bits: the one that was not seen after two others gets no count there."""
+    names = [f"w{i}" for i in range(30000)]
+    h = textscan.word_hashes(textscan.words(pa.array(names)))
+    order = np.argsort(h)
+    near = np.flatnonzero((h[order][1:] >> np.uint64(40) == h[order][:-1] >> np.uint64(40)) & (h[order][1:] >> np.uint64(32) != h[order][:-1] >> np.uint64(32)))[0]
+    x, y = names[order[near]], names[order[near + 1]]
+    rows = [*((2 * i, f"a b {x}") for i in range(30)), (100, y), (102, " ".join(f"f{i}" for i in range(12000))), (1, f"a b {y}")]  # no word is frequent
+    found = ngram_trie.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 2 == 0).collect()
+    _compare(found, [(i, *e) for (i, _), e in zip(rows, _model(rows, lambda i: i % 2 == 0), strict=True)])
+
+
 # -- 4: personal data -----------------------------------------------------------------------------------------------
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
