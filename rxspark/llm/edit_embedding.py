@@ -10,8 +10,9 @@ in the first 64), as long as the walk lasts, written as hexadecimal digits and "
 walked.  ``likeness`` of two fingerprints is the share of equal samples, each weighted by the time that it stands for,
 less what chance gives: 1 for equal texts and near 0 for unrelated ones.
 
-Banding: sampled places of one interval form band keys; documents that share a key are candidates, and a link needs the
-likeness of the two fingerprints.
+Banding (``groups``; the registered query compares each document with the next one and leaves it out): sampled places of
+one interval form band keys; all documents that share a key are candidates of each other, and a link needs the likeness of
+the two fingerprints.
 
 A null text is empty, its fingerprint too; two empty ones have likeness 1, an empty and another 0.  The next document is
 the next row by doc_id, then text; null ids come first.  Repeated rows follow one another.
@@ -34,6 +35,8 @@ from .textscan import U, mix, ranges
 SAMPLES, FIRST, CLASSES, PERIOD = 64, 64, 64, 1 << 16
 #: Fewer texts than this are walked one by one.
 _ALONE = 24
+#: Members of a band key that are compared at once with each other, or with as many others.
+BLOCK = 512
 _kept: dict = {}
 
 
@@ -234,12 +237,40 @@ def compare_next(docs: DataFrame) -> DataFrame:
     return done.where("edge is null").select("doc_id", *_NAMES).union(edges)
 
 
+def _links(written: list[str], other: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Links (p, q) between non-empty fingerprints that reach ``least``, thinned to a spanning forest; with ``other`` only
+    between those where it is set and those where it isn't."""
+    value = np.zeros(256, np.uint8)
+    value[_DIGITS] = np.arange(17)
+    width = max(map(len, written))
+    x = np.full((len(written), width), 16, np.uint8)
+    for row, w in zip(x, written, strict=True):
+        row[: len(w)] = value[np.frombuffer(w.encode(), np.uint8)]
+    _, weights = sample_times(FIRST << (width // SAMPLES - 1) if width > SAMPLES else FIRST)
+    alone = np.ones(len(written), bool)
+    out = []
+    for first in range(len(written)):
+        queue = [first] if alone[first] else []
+        alone[first] = False
+        while queue:
+            p = queue.pop()
+            rest = np.flatnonzero(alone if other is None else alone & (other != other[p]))
+            counted = (x[rest] < 16) | (x[p] < 16)
+            share = (counted & (x[rest] == x[p])) @ weights / (counted @ weights)
+            near = rest[(share - 1 / 16) / (15 / 16) >= least]
+            alone[near] = False
+            queue += near.tolist()
+            out += [(p, q) for q in near.tolist()]
+    return out
+
+
 def groups(printed: DataFrame, least: float = 0.75, bands: int = 24, rows: int = 6) -> DataFrame:
     """(doc_id, component_id) of fingerprints (doc_id, fingerprint) by bit-sampled banding and verification.
 
     A band key is ``rows`` sampled places of the last interval that a fingerprint fills, and of the one before, so that
-    texts whose lengths straddle a power of two still meet.  Each key's members are verified against its least member
-    by the likeness of whole fingerprints; confirmed links make the components.
+    texts whose lengths straddle a power of two still meet.  All pairs of a key's members are decided by the likeness of
+    whole fingerprints, in pairs of blocks; keys with the same members count once.  Pairs that are already connected
+    within a block need no comparison: confirmed links make the components.
     """
     places = np.random.default_rng(12).integers(0, SAMPLES, (bands, rows))
     known = printed.where("doc_id is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
@@ -257,16 +288,33 @@ def groups(printed: DataFrame, least: float = 0.75, bands: int = 24, rows: int =
                     found += [f"{level}/{b}/{k.tobytes().decode()}" for b, k in enumerate(own)]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row, pa.int64())), pa.array(found, pa.string())], ["node", "key"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    spread = known.mapInArrow(keys, f"node {kind}, key string")
-    lows = spread.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    pairs = spread.join(lows, "key").where("node <> low").select("node", "low").distinct()
-    left, right = (known.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("node", "x"), ("low", "y")))
-    links = pairs.join(left, "node").join(right, "low").select(F.col("node").alias("a"), F.col("low").alias("b"), "x", "y").mapInArrow(verify, f"a {kind}, b {kind}")
+    def verify(rows: pa.Table) -> pa.Table:
+        key, i, j, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+        order = np.lexsort((block, j, i, key))
+        own = [x[order] for x in (key, i, j)]
+        cut = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in own], 0)))
+        node, written = rows.column("node").to_pylist(), rows.column("fingerprint")
+        a, b = [], []
+        for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            one = order[x:y]
+            other = None if i[one[0]] == j[one[0]] else block[one] == j[one[0]]
+            for p, q in _links([written[int(k)].as_py() for k in one], other, least):
+                a.append(node[one[p]])
+                b.append(node[one[q]])
+        return pa.table({"a": pa.array(a, rows.schema.field("node").type), "b": pa.array(b, rows.schema.field("node").type)})
+
+    spread = known.mapInArrow(keys, f"node {kind}, key string").select("node", F.xxhash64("key").alias("key"))
+    members = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 1), ("y", 2))]
+    sizes = spread.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
+    shared = materialize(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
+    tasks = max(partitions_for(printed.sparkSession), (shared.agg(F.sum("n")).first()[0] or 0) // 4000)
+    held = spread.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    held = held.select("node", "key", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    held = held.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j")))
+    work = held.join(known, "node").select("task", "key", "i", "j", "block", "node", "fingerprint")
+    links = work.groupBy("task").applyInArrow(verify, f"a {kind}, b {kind}")
     roots = components(links, "edit").withColumnRenamed("node", "rep")
     of = known.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
     return printed.join(of, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -454,6 +454,26 @@ def test_fingerprints(spark, sf_dir, texts, odd, none):
     assert groups[5] == groups[6] == 4 and groups[7] == 7 and groups[0] == 0
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_prints_meet_without_the_least_member(spark, monkeypatch, block):
+    """Near fingerprints whose only common key has a least member that is near neither of them, in one block and in several."""
+    monkeypatch.setattr(edit_embedding, "BLOCK", block)
+    places = np.random.default_rng(12).integers(0, edit_embedding.SAMPLES, (24, 6))
+    rng = np.random.default_rng(1)
+    x, far = rng.integers(0, 16, 64), [rng.integers(0, 16, 64) for _ in range(4)]
+    y, free, bands = x.copy(), set(range(64)) - set(places[0].tolist()), [set(b.tolist()) for b in places[1:]]
+    while bands:  # every other key differs
+        k = max(sorted(free), key=lambda p: sum(p in b for b in bands))
+        y[k] ^= 1
+        bands = [b for b in bands if k not in b]
+    for f in far:
+        f[places[0]] = x[places[0]]
+    rows = [(i, edit_embedding._written(f)) for i, f in enumerate([*far, x, y])]
+    assert edit_embedding.likeness(rows[4][1], rows[5][1]) >= 0.75 > 0.5 > max(edit_embedding.likeness(rows[i][1], rows[j][1]) for i in range(4) for j in (4, 5))
+    found = {r.doc_id: r.component_id for r in edit_embedding.groups(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
 # -- 10: near-duplicates --------------------------------------------------------------------------------------------
 
 
