@@ -4,9 +4,12 @@
 2.  High-recall generators propose further spans, which may overlap base ones: loosely written digit groups and
     mail addresses (also "name [at] host [dot] tld").
 3.  Boosted trees score each candidate by its format and its surroundings.  Their training labels are weak: a candidate
-    that coincides with a base span is positive, one that touches none is negative, one that partly overlaps is left
-    out.  All features are small integers, so the corpus is reduced to counts for each distinct feature vector (at most
-    ``CELLS`` rows, however large the corpus); the trees are fitted to those counts and compiled into CASE expressions.
+    that coincides with a base span is positive, one that partly overlaps is left out.  One that touches none is negative,
+    but for addresses with "[at]" or "[dot]": nobody labelled them, and base spans never look like that, so they are left
+    out too.  What they look like is learnt from base addresses: two in three, by a hash of text and place, count with
+    the format that they would have if written "name [at] host [dot] tld" or "name[at]host[dot]tld", each but once.  All
+    features are small integers, so the corpus is reduced to counts for each distinct feature vector (at most ``CELLS``
+    rows, however large the corpus); the trees are fitted to those counts and compiled into CASE expressions.
 4.  For each kind the threshold is the lowest score at which, on the held-out half of the documents, the Wilson lower
     bound of the precision is ``PRECISION`` or more.  Candidates over it that touch no base span are added.
 
@@ -35,8 +38,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_HOST = "[A-Za-z0-9-]++"
+_DOT = r"(?:\x20?(?:\[dot\]|\(dot\))\x20?|\x20\.\x20|\.)"
+#: An address as in PATTERNS; or loosely written with any number of dots, up to the last part that ends in two letters; or
+#: with one dot that has a space on one side, as after a sentence.
 LOOSE = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{{2,}}+",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++(?:@{_HOST}(?:\.{_HOST})++|\x20?(?:\[at\]|\(at\)|@)\x20?{_HOST}"
+    rf"(?:(?:(?:{_DOT}{_HOST}(?<![A-Za-z]{{2}}))*+{_DOT}{_HOST}(?<=[A-Za-z]{{2}}))++|\x20?\.\x20?[A-Za-z]{{2,}}+))",
     "digits": r"(?<![0-9A-Za-z])[+(]?[0-9][0-9\x20().-]{5,}[0-9]",
 }
 
@@ -93,19 +101,25 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = f"case when m.x rlike '^[0-9]+([.][0-9]+){{3}}$' then 1 when {n} >= 12 and not m.x rlike '[+(]' then 2 else 3 end"
     word = "cast(lower(substring(pii_text, greatest(1, m.s - 23), least(24, m.s))) rlike '(mail|tel|phone|call|fax|card|visa|server|host|contact|address)' as int)"
 
-    def row(which: str, kind: str) -> str:
+    def row(which: str, kind: str, relaxed: str = "0", tight: str = "0") -> str:
         return f"""transform(pii_more_{which}, m -> struct(m.s as s, {kind} as k, m.e as e, {kind} as kind, {digit_bin} as digits,
-            least(4, length(m.x) - length(translate(m.x, ' .-', ''))) as marks, cast(contains(m.x, '(') as int) as paren,
+            least(4, length(m.x) - length(translate(m.x, ' .-', ''))) as marks, cast(m.x rlike '[(\\\\[]' as int) as paren,
+            {relaxed} as form, {tight} as tight,
             {side.format("substring(pii_text, m.s, if(m.s = 0, 0, 1))")} as left, {side.format("substring(pii_text, m.e + 1, 1)")} as right,
             {word} as word,
             exists(pii_base, b -> b.s = m.s and b.e = m.e) as known, exists(pii_base, b -> b.s < m.e and b.e > m.s) as touches))"""
 
-    return df.withColumn("pii_loose", F.expr(f"concat({row('email', '0')}, {row('digits', kind)})")).drop("pii_more_email", "pii_more_digits")
+    # what is left of an address's marks when its dots after the @ are written out
+    tight = "cast(least(4, length(m.x) - length(translate(m.x, ' .-', '')) - regexp_count(substring_index(m.x, '@', -1), '[.]')) as int)"
+    return df.withColumn("pii_loose", F.expr(f"concat({row('email', '0', 'cast(pmod(xxhash64(pii_text, m.s), 3) as int)', tight)}, {row('digits', kind)})")).drop("pii_more_email", "pii_more_digits")
 
 
 def count_cells(located: DataFrame, fold: Column) -> DataFrame:
     """Counts for each distinct feature vector and fold (0 or 1): n candidates, p of them positive."""
-    each = located.select(fold.alias("fold"), F.inline("pii_loose")).where("known or not touches")
+    each = located.select(fold.alias("fold"), F.inline("pii_loose")).where("known or not touches and not (kind = 0 and paren = 1)")
+    relaxed = F.col("known") & (F.col("form") > 0)
+    each = each.withColumn("marks", F.when(relaxed, F.when(F.col("form") == 1, 4).otherwise(F.col("tight"))).otherwise(F.col("marks")))
+    each = each.withColumn("paren", F.when(relaxed, 1).otherwise(F.col("paren")))
     return each.groupBy("fold", *FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("known").cast("long")).alias("p"))
 
 

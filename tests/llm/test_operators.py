@@ -281,6 +281,23 @@ def test_pii(spark, documents, texts, odd, none):
     assert clean[13].text == PROSE and clean[0].text is None
 
 
+def test_pii_written_out_addresses(spark):
+    """With enough base addresses, of several dots, those written out are returned and redacted, however many; what looks like
+    an address only by a space is not."""
+    names = ["ann.lee", "joe", "joe7"]
+    rows = [(i, f"letter {i}: write to {names[i % 3]}@{['mail7', 'mail'][i % 2]}.x{'abc'[i % 3]}{i // 9 % 2 or ''}.example.com{['. Thanks', ' now', ''][i // 6 % 3]}") for i in range(1500)]
+    rows += [(5000 + i, f"order {i * 7919 % 99991 + 10**6}") for i in range(1500)]
+    more = ["ask joe [at] mail7 [dot] example [dot] org now", "ask joe[at]host[dot]org now", "ask joe (at) host (dot) co (dot) uk"]
+    planted = [(10000 + i, more[i % 3]) for i in range(300)] + [(20000 + i, "we met @ home. Then we left") for i in range(300)]
+    df = spark.createDataFrame(rows + planted, "doc_id long, text string")
+    located = pii.spans(df)
+    cells = located.select(F.inline("pii_loose")).where("kind = 0").groupBy("known", "touches").count().collect()
+    assert {(r.known, r.touches): r["count"] for r in cells} == {(True, True): 1500, (False, False): 600}
+    found = {r.doc_id: r.text for r in pii.redact(pii.detect(located, *pii.fit(located, pii._fold()))).collect()}
+    assert {found[10000 + i] for i in range(300)} == {"ask [EMAIL] now", "ask [EMAIL]"}
+    assert {found[i].split(": ")[1] for i in range(1500)} == {"write to [EMAIL]. Thanks", "write to [EMAIL] now", "write to [EMAIL]"} and {found[20000 + i] for i in range(300)} == {"we met @ home. Then we left"}
+
+
 def test_pii_trees():
     """Trees tell cells apart; a threshold needs enough good candidates in the held-out half."""
     cells = [(k, d, 0, 0, 0, 0, 0) for k in (2, 3) for d in (8, 9)]
