@@ -2,15 +2,17 @@
 
 1.  Each text becomes its set of distinct word shingles (64-bit hashes), a 128-bit digest of the set and ``BANDS`` band
     keys.  A permutation gives two signature values, the minimum and the maximum of the permuted set, so that half as
-    many permutations as values are evaluated; both are unbiased estimates of the Jaccard similarity.  Two sets at
-    exactly 0.75 share a band with probability 1 - (1 - 0.75**6)**48 > 0.9999, and closer ones almost surely.
+    many permutations as values are evaluated; both are unbiased estimates of the Jaccard similarity.  Two large sets
+    at exactly 0.75 share a band with probability 1 - (1 - 0.75**6)**48 > 0.9999, and closer ones almost surely.  On small
+    sets minimum and maximum depend on each other (unions of 8 shingles: 0.9997), so sets of up to ``SMALL`` shingles, and
+    those that they can link to, have prefix keys besides: the rarest n - ceil(0.75 n) + 1 of a set's n shingles.  Two
+    sets that reach 0.75 have one of these in common, whatever the order, as long as it is the same for all.
 2.  Equal sets are folded into one representative (the least doc_id): copies cost nothing further.
 3.  Representatives that share a band key are joined into candidate groups (connected components over band keys; each
     key links its members to its least member, so a key with m members gives m links, not m * m).
 4.  Inside a group all pairs are decided on full sets, in blocks: small groups are put together into tasks; a larger
-    group is cut into blocks of about ``BLOCK`` sets and each pair of blocks is a task, so that no task holds more than
-    two blocks.  In groups of over ``BANDS * BLOCK`` sets only those that share a band key are compared, again in
-    blocks: each set then goes out once for each of its band keys and block, not once for each block of the group.  A
+    group is cut into blocks of about ``BLOCK`` sets and each pair of blocks is a task of its own.  In groups of over ``BANDS * BLOCK`` sets only those that share a band key or a prefix key are
+    compared, again in blocks; prefix keys of sets of all sizes make that the same links as from all pairs.  A
     task multiplies 0/1 matrices and keeps a spanning forest of the links that it finds: components are the same as
     with all links, and fewer rows leave than sets went in.
 5.  Components of the confirmed links give ``component_id``.
@@ -33,7 +35,9 @@ from .base import chunks, materialize, partitions_for, release, table
 from .textscan import U, mix
 
 WORDS, PERCENT, ROWS, BANDS = 5, 75, 6, 48
-BLOCK = 128
+BLOCK, SMALL = 128, 64
+#: Shingles that come last in prefixes, as many texts have them: this many at most, each of over 1/OFTEN of the texts.
+FREQUENT, OFTEN = 4096, 2000
 _STEP = 1 << 17
 
 
@@ -75,8 +79,36 @@ def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else raw), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands); an empty set has a null digest and null bands."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Hashes of shingles that many texts have, ascending.  Which ones are found changes costs alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            shingles, counts = np.unique(_sets(batch)[0], return_counts=True)
+            often = counts > 1 + batch.num_rows // OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(shingles[often].view(np.int64), 0)), pa.array(np.append(counts[often], 0)), pa.array([0] * int(often.sum()) + [batch.num_rows], pa.int64())], ["shingle", "n", "texts"])
+
+    found = docs.select("text").mapInArrow(run, "shingle long, n long, texts long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    found = materialize(found.where("n > 1 or texts > 0"), "frequent")
+    texts = found.agg(F.sum("texts")).first()[0] or 0
+    rows = found.where(F.col("n") * OFTEN > texts).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()  # at most FREQUENT rows
+    return np.sort(np.array([x["shingle"] for x in rows], np.int64).view(U))
+
+
+def prefixes(shingles: np.ndarray, offsets: np.ndarray, last: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix keys, offsets by set): the first n - ceil(percent n) + 1 of each set's shingles, those in ``last`` at the end."""
+    sizes = np.diff(offsets)
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    common = np.isin(shingles, last)
+    order = np.lexsort((shingles, common, who))
+    lengths = np.where(sizes > 0, sizes + (-percent * sizes) // 100 + 1, 0)
+    return shingles[order][textscan.ranges(offsets[:-1], lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+
+def fingerprint(docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, digest, bands, prefix); an empty set has a null digest and null bands, prefix is null for large
+    sets too."""
+    most = SMALL * 100 // percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -87,15 +119,19 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             keys = signatures(shingles, np.append(begin, offsets[-1]))
             halves = [np.add.reduceat(mix(shingles ^ U(salt)), begin) if len(full) else np.zeros(0, U) for salt in (0x5DEECE66D, 0xB5297A4D3F84D5B5)]
             raw = np.stack(halves, 1).astype("<u8").tobytes()
-            digest, bands = [None] * len(sizes), [None] * len(sizes)
+            digest, bands, prefix = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes)
+            few = np.flatnonzero((sizes > 0) & (sizes <= most))
+            first, cut = prefixes(shingles[textscan.ranges(offsets[:-1][few], sizes[few])], np.concatenate([[0], np.cumsum(sizes[few])]), last, percent)
+            for j, i in enumerate(few.tolist()):
+                prefix[i] = first[cut[j] : cut[j + 1]].view(np.int64)
             rows = keys.view(np.int64)
             for j, i in enumerate(full.tolist()):
                 digest[i], bands[i] = raw[16 * j : 16 * j + 16], rows[j]
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands"])
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, prefix array<long>")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -175,9 +211,9 @@ def _forest(sets: list[np.ndarray], split: int | None, percent: int) -> list[tup
     return out
 
 
-def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) within the candidate groups ``members`` (node, root), decided on the sets of ``docs``; ``bands`` has
-    (node, band, key) of all nodes."""
+    (node, band, key) of all nodes, ``last`` the shingles that come last in prefixes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +223,12 @@ def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int
             sets = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            first, cut = prefixes(*_sets(batch), last, percent)
+            who = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(first.view(np.int64))], ["node", "key"])
+
     own = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     sets = own.mapInArrow(shingle, f"node {kind}, shingles binary")
     groups = members.groupBy("root").agg(F.count("*").alias("n"))
@@ -194,14 +236,25 @@ def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int
     tasks = max(partitions_for(docs.sparkSession), members.count() // 500)
     small = sized.where(F.col("n") <= BLOCK)
     small = small.select("node", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.xxhash64("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
-    large = sized.where((F.col("n") > BLOCK) & (F.col("n") <= BANDS * BLOCK)).select("node", F.xxhash64("root").alias("unit"), "n")
-    huge = bands.join(sized.where(F.col("n") > BANDS * BLOCK), "node").select("node", F.xxhash64("root", "band", "key").alias("unit"))
-    huge = huge.join(huge.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1"), "unit").select("node", "unit", "n")
+    large = sized.where((F.col("n") > BLOCK) & (F.col("n") <= BANDS * BLOCK)).select("node", F.xxhash64("root").alias("unit"), "n", F.lit(False).alias("huge"))
+    many = sized.where(F.col("n") > BANDS * BLOCK).select("node", "root")
+    keys = bands.where(F.col("band") < BANDS)
+    if not groups.where(F.col("n") > BANDS * BLOCK).isEmpty():
+        theirs = docs.join(many.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        keys = keys.union(theirs.mapInArrow(begin, f"node {kind}, key long").select("node", F.lit(BANDS).alias("band"), "key"))
+    huge = keys.join(many, "node").select("node", F.xxhash64("root", "band", "key").alias("unit")).distinct()
+    # keys with the same members count once; small units share tasks
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 2), ("y", 3))]
+    units = huge.groupBy("unit").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "x", "y").agg(F.min("unit").alias("unit")).select("unit", "n")
+    units = materialize(units, "units")
+    packed = max(partitions_for(docs.sparkSession), int(units.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0) // 500)
+    huge = huge.join(units, "unit").select("node", "unit", "n", F.lit(True).alias("huge"))
     large = large.union(huge).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    large = large.select("node", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    large = large.select("node", F.xxhash64("unit", "i", "j").alias("task"), "unit", "i", "j", "block")
+    large = large.select("node", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "huge")
+    task = F.xxhash64("unit", "i", "j")
+    large = large.select("node", F.when(F.col("huge"), F.pmod(task, F.lit(packed))).otherwise(task).alias("task"), "unit", "i", "j", "block")
     work = small.union(large).join(sets, "node")
 
     def decide(rows: pa.Table) -> pa.Table:
@@ -230,10 +283,14 @@ def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, percent: int
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each document."""
-    prints = materialize(fingerprint(docs), "prints")
+    last = frequent(docs)
+    prints = materialize(fingerprint(docs, last, percent), "prints")
     known = prints.where("digest is not null and doc_id is not null")
     folded = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "folded")
-    bands = known.join(folded.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    own = known.join(folded.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").withColumnRenamed("doc_id", "node")
+    # keys of a set as one array, those of its prefix under the number BANDS
+    numbered = F.expr(f"concat(transform(bands, (k, i) -> struct(i as band, k as key)), transform(coalesce(prefix, slice(bands, 1, 0)), k -> struct({BANDS} as band, k as key)))")
+    bands = own.select("node", F.inline(numbered))
     keys = bands.groupBy("band", "key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high")
     keys = materialize(keys, "keys")
     links = keys.select(F.col("high").alias("a"), F.col("low").alias("b"))
@@ -244,7 +301,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stars.select("a", "b").union(stars.select(F.explode("lows").alias("a"), "b").where("a <> b"))
     groups = components(links, "candidates")
     # a doc_id whose rows hold different sets is one node: its sets are all compared
-    roots = components(confirm(groups, bands, docs, percent), "links").withColumnRenamed("node", "rep")
+    roots = components(confirm(groups, bands, docs, last, percent), "links").withColumnRenamed("node", "rep")
     parts = folded.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return prints.select("doc_id", "n_shingles", "digest").join(parts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

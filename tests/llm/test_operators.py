@@ -547,6 +547,32 @@ def test_near_duplicates(spark, monkeypatch, block, bands):
     assert all(found[i].n_shingles == len(s[0]) for i, s in _sets(rows).items())
 
 
+def _without_common_key(longer, shorter, seed):
+    """(a, b): texts of so many words, b the beginning of a, that share no band key."""
+    rng = random.Random(seed)
+    while True:
+        texts = [[f"v{rng.randrange(10**9)}" for _ in range(longer)] for _ in range(1000)]
+        sets = [minhash._sets(pa.record_batch([pa.array([" ".join(t[:n]) for t in texts])], ["text"])) for n in (longer, shorter)]
+        missed = np.flatnonzero(~(minhash.signatures(*sets[0]) == minhash.signatures(*sets[1])).any(1))
+        if len(missed):
+            return texts[missed[0]], texts[missed[0]][:shorter]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_links_without_a_common_band(spark, monkeypatch, large):
+    """Two sets at 0.75 that share no band key: small ones, and larger ones in a group of more than BANDS * BLOCK sets."""
+    if large:
+        monkeypatch.setattr(minhash, "BLOCK", 1)
+        a, b = _without_common_key(104, 79, 1)
+        rows = [(i, " ".join([*a[30:], *(f"c{i}x{k}" for k in range(10))])) for i in range(60)]  # under 0.75 to both
+    else:
+        (a, b), rows = _without_common_key(8, 7, 2), []
+    rows += [(100, " ".join(a)), (101, " ".join(b))]
+    expected = _exact(rows)
+    assert expected[101] == 100 and len(set(expected.values())) == 1 + large
+    assert {i: r.component_id for i, r in by_id(minhash.cluster(spark.createDataFrame(rows, "doc_id long, text string"))).items()} == expected
+
+
 def test_near_duplicates_documents(spark, sf_dir, texts, odd, none):
     found = by_id(queries.QUERIES["op10_minmax_hash"](spark, sf_dir))
     expected = _exact(texts.items())
