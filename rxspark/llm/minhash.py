@@ -10,15 +10,19 @@
 2.  Equal sets are folded into one representative (the least doc_id): copies cost nothing further.
 3.  Representatives that share a band key are joined into candidate groups (connected components over band keys; each
     key links its members to its least member, so a key with m members gives m links, not m * m).
-4.  Inside a group all pairs are decided on full sets, in blocks: small groups are put together into tasks; a larger
-    group is cut into blocks of about ``BLOCK`` sets and each pair of blocks is a task of its own.  In groups of over ``BANDS * BLOCK`` sets only those that share a band key or a prefix key are
-    compared, again in blocks; prefix keys of sets of all sizes make that the same links as from all pairs.  A
-    task multiplies 0/1 matrices and keeps a spanning forest of the links that it finds: components are the same as
+4.  Inside a group the components are those of all pairs, whatever its size, decided on full sets.  Groups of up to ``BLOCK``
+    sets are compared whole, some to a task.  A larger one is cut into blocks, and each block is compared with the
+    first and in itself: a group of m sets sends 2 m, and where most link, as in clusters of copies, one component is nearly
+    all of it.  Only pairs of different components are still open.  They are decided in the way that sends fewer rows:
+    the nodes outside the largest component against all of the group, in blocks, leaving out sizes too far apart; or those
+    that share a prefix key, leaving out keys whose nodes are in one component.  Both find every link.
+    A task multiplies 0/1 matrices and keeps a spanning forest of the links that it finds: components are the same as
     with all links, and fewer rows leave than sets went in.
 5.  Components of the confirmed links give ``component_id``.
 
 A null text has no words.  A null doc_id takes part in nothing: its component is null and it is kept.  Rows that repeat
-a doc_id share its component.
+a doc_id share its component.  ``stage`` tells rows apart also where ids are null or repeated, and keeps exactly one row of
+each group.  An empty table gives an empty one; other columns of the documents are never looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -211,74 +215,127 @@ def _forest(sets: list[np.ndarray], split: int | None, percent: int) -> list[tup
     return out
 
 
-def confirm(members: DataFrame, bands: DataFrame, docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) within the candidate groups ``members`` (node, root), decided on the sets of ``docs``; ``bands`` has
-    (node, band, key) of all nodes, ``last`` the shingles that come last in prefixes."""
+def _sets_of(docs: DataFrame) -> DataFrame:
+    """(node, shingles): the set of each text, as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             shingles, offsets = _sets(batch)
             raw, at = shingles.astype("<u8").tobytes(), (8 * offsets).tolist()
             sets = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            first, cut = prefixes(*_sets(batch), last, percent)
-            who = np.repeat(np.arange(batch.num_rows), np.diff(cut))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(first.view(np.int64))], ["node", "key"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles binary")
 
-    own = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    sets = own.mapInArrow(shingle, f"node {kind}, shingles binary")
-    groups = members.groupBy("root").agg(F.count("*").alias("n"))
-    sized = members.join(groups, "root")
-    tasks = max(partitions_for(docs.sparkSession), members.count() // 500)
-    small = sized.where(F.col("n") <= BLOCK)
-    small = small.select("node", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.xxhash64("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
-    large = sized.where((F.col("n") > BLOCK) & (F.col("n") <= BANDS * BLOCK)).select("node", F.xxhash64("root").alias("unit"), "n", F.lit(False).alias("huge"))
-    many = sized.where(F.col("n") > BANDS * BLOCK).select("node", "root")
-    keys = bands.where(F.col("band") < BANDS)
-    if not groups.where(F.col("n") > BANDS * BLOCK).isEmpty():
-        theirs = docs.join(many.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-        keys = keys.union(theirs.mapInArrow(begin, f"node {kind}, key long").select("node", F.lit(BANDS).alias("band"), "key"))
-    huge = keys.join(many, "node").select("node", F.xxhash64("root", "band", "key").alias("unit")).distinct()
-    # keys with the same members count once; small units share tasks
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 2), ("y", 3))]
-    units = huge.groupBy("unit").agg(F.count("*").alias("n"), *marks).where("n > 1").groupBy("n", "x", "y").agg(F.min("unit").alias("unit")).select("unit", "n")
-    units = materialize(units, "units")
-    packed = max(partitions_for(docs.sparkSession), int(units.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0) // 500)
-    huge = huge.join(units, "unit").select("node", "unit", "n", F.lit(True).alias("huge"))
-    large = large.union(huge).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    large = large.select("node", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "huge")
-    task = F.xxhash64("unit", "i", "j")
-    large = large.select("node", F.when(F.col("huge"), F.pmod(task, F.lit(packed))).otherwise(task).alias("task"), "unit", "i", "j", "block")
-    work = small.union(large).join(sets, "node")
-
-    def decide(rows: pa.Table) -> pa.Table:
-        units, i, j, block = (rows.column(c).to_numpy() for c in ("unit", "i", "j", "block"))
-        nodes = rows.column("node").to_pylist()
-        held = rows.column("shingles")
+
+def _decide(work: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of ``work`` (node, task, unit, side): in each unit all pairs are decided, or with sides 1 and 2 those
+    between the sides.  A task has one or more units."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        units, sides = (rows.column(c).to_numpy() for c in ("unit", "side"))
+        nodes, held = rows.column("node").to_pylist(), rows.column("shingles")
         a, b = [], []
-        order = np.lexsort((block, j, i, units))
-        cut = np.flatnonzero(np.append(True, (units[order][1:] != units[order][:-1]) | (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])))
+        order = np.lexsort((sides, units))
+        cut = np.flatnonzero(np.append(True, units[order][1:] != units[order][:-1]))
         for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
             one = order[x:y]
-            if y - x < 2:
+            first = int((sides[one] == 1).sum())
+            if y - x < 2 or sides[one[0]] and first in (0, len(one)):
                 continue
             sets = [np.frombuffer(held[int(k)].as_py(), "<u8") for k in one]
-            split = None if i[one[0]] == j[one[0]] else int((block[one] == i[one[0]]).sum())
-            if split in (0, len(one)):
-                continue
-            for p, q in _forest(sets, split, percent):
+            for p, q in _forest(sets, first if sides[one[0]] else None, percent):
                 a.append(nodes[one[p]])
                 b.append(nodes[one[q]])
         release()
         return pa.table({"a": pa.array(a, rows.schema.field("node").type), "b": pa.array(b, rows.schema.field("node").type)})
 
-    return work.groupBy("task").applyInArrow(decide, f"a {kind}, b {kind}")
+    own = docs.select("doc_id", "text").join(work.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return work.join(_sets_of(own), "node").groupBy("task").applyInArrow(run, f"a {kind}, b {kind}")
+
+
+def _block(of: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Work of the first round on ``members`` (node, root, n): small groups whole, some to a task; of a larger one every
+    block with the first, all pairs of both."""
+    tasks = max(partitions_for(members.sparkSession), members.count() // 500)
+    whole = members.where(F.col("n") <= BLOCK).select("node", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.xxhash64("root").alias("unit"), F.lit(0).alias("side"))
+    large = members.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", _block("blocks", 1))
+    large = large.withColumn("with", F.explode(F.when(F.col("block") == 0, F.expr("sequence(0, blocks - 1)")).otherwise(F.array("block"))))
+    unit = F.xxhash64("root", "with")
+    return whole.union(large.select("node", unit.alias("task"), unit.alias("unit"), F.lit(0).alias("side")))
+
+
+def _rest_pairs(open_: DataFrame) -> DataFrame:
+    """Work on ``open_`` (node, root, class, rest): each node of the rest with every node of its group whose class is next to its
+    own, in blocks of both.  Sizes that differ by more than a class are too far apart to link."""
+    sizes = open_.groupBy("root", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("rest_blocks"))
+    own = open_.join(sizes, ["root", "class"])
+    near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("near")
+    theirs = sizes.select("root", F.col("class").alias("near"), F.col("all_blocks").alias("near_all"), F.col("rest_blocks").alias("near_rest"))
+    left = own.where("rest").withColumn("block", _block("rest_blocks", 2)).select("node", "root", "class", "block", near).join(theirs, ["root", "near"])
+    left = left.withColumn("other", F.explode(F.expr("sequence(0, near_all - 1)"))).select("node", F.xxhash64("root", "class", "block", "near", "other").alias("unit"), F.lit(1).alias("side"))
+    right = own.withColumn("block", _block("all_blocks", 3)).select("node", "root", "class", "block", near).join(theirs, ["root", "near"]).where("near_rest > 0")
+    right = right.withColumn("other", F.explode(F.expr("sequence(0, near_rest - 1)"))).select("node", F.xxhash64("root", "near", "other", "class", "block").alias("unit"), F.lit(2).alias("side"))
+    return left.union(right).select("node", F.col("unit").alias("task"), "unit", "side")
+
+
+def _prefix_pairs(open_: DataFrame, docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
+    """Work on ``open_`` (node, root, label): nodes of a group that have a shingle of their prefixes in common, in pairs of blocks;
+    shingles whose nodes all have one label are left out.  Two sets that reach ``percent`` have such a shingle."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            first, cut = prefixes(*_sets(batch), last, percent)
+            who = np.repeat(np.arange(batch.num_rows), np.diff(cut))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(first.view(np.int64))], ["node", "key"])
+
+    open_ = open_.select("node", "root", "label").distinct()
+    own = docs.select("doc_id", "text").join(open_.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    held = own.mapInArrow(run, f"node {kind}, key long").distinct().join(open_, "node").select("node", "label", F.xxhash64("root", "key").alias("unit"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 2), ("y", 3))]
+    units = held.groupBy("unit").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *marks).where("low <> high")
+    # shingles with the same nodes count once; small units share tasks
+    units = materialize(units.groupBy("n", "x", "y").agg(F.min("unit").alias("unit")).select("unit", "n"), "units")
+    tasks = max(partitions_for(docs.sparkSession), int(units.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0) // 500)
+    held = held.join(units, "unit").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", _block("blocks", 4))
+    held = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    side = F.when(F.col("blocks") == 1, 0).when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
+    held = held.select("node", F.xxhash64("unit", low, high).alias("unit"), side.alias("side"), "blocks")
+    return held.select("node", F.when(F.col("blocks") == 1, F.pmod("unit", F.lit(tasks))).otherwise(F.col("unit")).alias("task"), "unit", "side")
+
+
+def confirm(members: DataFrame, sizes: DataFrame, docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the confirmed links within the candidate groups ``members`` (node, root): the same components as from
+    all pairs of each group, decided on the sets of ``docs``.  ``sizes``: (node, size) of all sets of a node; ``last``: shingles
+    that come last in prefixes."""
+    sized = materialize(members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root"), "members")
+    links = materialize(_decide(_first_pairs(sized), docs, percent), "links")
+    large = sized.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return components(links, "links")
+    # What is open in a large group are pairs of different components.  All but those of its largest one have a node outside it.
+    labelled = large.join(components(links, "links").withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialize(labelled, "labelled")
+    parts = labelled.join(sizes.groupBy("node").agg(F.sum("size").alias("size")), "node").groupBy("root", "label").agg(F.count("*").alias("k"), F.sum("size").alias("shingles"))
+    parts = parts.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"))
+    rest = F.col("n") - F.col("most")
+    by_blocks = rest * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.ceil(rest / BLOCK)  # rows of either way, both of which are exact
+    parts = parts.where("parts > 1").select("root", "main", (by_blocks <= F.col("shingles") * (100 - percent) / 100).alias("blocks"))
+    classes = sizes.select("node", F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).alias("class")).distinct()
+    open_ = materialize(labelled.join(parts, "root").join(classes, "node").select("node", "root", "label", "class", (F.col("label") != F.col("main")).alias("rest"), "blocks"), "open")
+    for way, work in ((True, _rest_pairs), (False, lambda x: _prefix_pairs(x, docs, last, percent))):
+        own = open_.where(F.col("blocks") == way)
+        if not own.isEmpty():
+            links = links.union(_decide(work(own), docs, percent))
+    return components(links, "links")
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -301,18 +358,28 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = stars.select("a", "b").union(stars.select(F.explode("lows").alias("a"), "b").where("a <> b"))
     groups = components(links, "candidates")
     # a doc_id whose rows hold different sets is one node: its sets are all compared
-    roots = components(confirm(groups, bands, docs, last, percent), "links").withColumnRenamed("node", "rep")
+    roots = confirm(groups, own.select("node", F.col("n_shingles").alias("size")), docs, last, percent).withColumnRenamed("node", "rep")
     parts = folded.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return prints.select("doc_id", "n_shingles", "digest").join(parts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id; rows that repeat its doc_id go too."""
-    found = cluster(docs)
-    drop = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, the one with the least doc_id; rows whose ids are null or repeated are told apart by
+    numbers of their own, and null ids come last."""
+    repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        drop = materialize(cluster(docs).where("doc_id <> component_id").select("doc_id"), "copies")
+        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    name = lambda number: F.struct(F.isnull("row.doc_id").alias("none"), F.col("row.doc_id").alias("id"), number.alias("number")).alias("doc_id")
+    theirs = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select(row)
+    theirs = materialize(theirs.select(name(F.monotonically_increasing_id()), "row"), "theirs")
+    plain = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").select(row).select(name(F.lit(-1).cast("long")), "row")
+    every = plain.union(theirs)
+    drop = materialize(cluster(every.select("doc_id", "row.text")).where("doc_id <> component_id").select("doc_id"), "copies")
+    return every.join(drop, "doc_id", "left_anti").select("row.*")
