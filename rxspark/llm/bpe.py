@@ -109,8 +109,9 @@ class Bpe:
                 pieces.append("" if j % 2 else self.normalise(part))
                 owner.append(i)
         ids, counts = self._encode(pieces)
-        for at, token in reversed(marks):
-            ids = np.insert(ids, int(counts[:at].sum()), token)
+        if marks:
+            at, tokens = np.array(marks, np.int64).T
+            ids = np.insert(ids, (np.cumsum(counts) - counts)[at], tokens.astype(ids.dtype))
             counts[at] = 1
         per = np.bincount(np.array(owner, np.int64), weights=counts, minlength=len(texts)).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per)])

@@ -7,12 +7,15 @@ character that takes several tokens) belongs where that character stands.  Every
 the counts of a document's sections sum to its own.
 
 Sections are the lines of a text, each with the line end that closes it; other sections can be given as arrays of start
-positions.  A null or empty text has one empty section with no tokens.
+positions.  A null or empty text has one empty section with no tokens; an empty table has no rows.  Repeated rows give
+repeated results, and columns besides those named are never looked at.  Texts are encoded whole, however long; runs of
+more than ``RUN`` white-space characters, which the library's pattern engine can't hold, are cut where it always ends a word.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import chunks, table
 
+RUN = 4096
+#: White space of the library's pattern engine, in runs of over RUN characters.
+_RUNS = re.compile(f"[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN + 1},}}")
 _kept: dict = {}
 
 
@@ -37,6 +43,19 @@ def _coder(path: str, pattern: str):
     return _kept[path]
 
 
+def encode(coder, text: str) -> np.ndarray:
+    """The ids of a text.  A run of white space is one word of the pattern, but for its last character if another follows it;
+    so the text is cut before a long run and before that last character, and the tokens stay the same."""
+    parts, at = [], 0
+    for run in _RUNS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        parts.append(coder.encode_ordinary(text[at : run.start()]))
+        parts.append(coder._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    parts.append(coder.encode_ordinary(text[at:]))
+    return np.concatenate([np.array(x, np.int64) for x in parts])
+
+
 def allocate(text: str, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The section of each token: ``sizes`` are the tokens' bytes, ``starts`` the sections' first characters, from 0."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -72,7 +91,7 @@ def attribute(docs: DataFrame, ranks: str, pattern: str, sections: str | None =
                     starts = np.concatenate([[0], at[at < len(text)]])
                 else:
                     starts = np.array(own[i] or [0], np.int64)
-                tokens = np.array(coder.encode_ordinary(text), np.int64)
+                tokens = encode(coder, text)
                 where = allocate(text, sizes[tokens], starts) if len(tokens) else tokens
                 row.append(np.full(len(starts), i))
                 number.append(np.arange(len(starts)))
