@@ -15,7 +15,8 @@ one interval form band keys; all documents that share a key are candidates of ea
 the two fingerprints.
 
 A null text is empty, its fingerprint too; two empty ones have likeness 1, an empty and another 0.  The next document is
-the next row by doc_id, then text; null ids come first.  Repeated rows follow one another.
+the next row by doc_id, then by a hash of the text; null ids come first, repeated rows follow one another.  An
+empty table has no rows; ids may be of any type that can be ordered, and columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import chunks, materialize, partitions_for, table
+from .base import CHUNK_BYTES, chunks, materialize, partitions_for, table
 from .minhash import components
 from .textscan import U, mix, ranges
 
@@ -193,48 +194,68 @@ _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 _TYPES = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, packed): texts compressed one by one, which halves what is shuffled; ``tie`` orders rows that repeat an id."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            packed = [_pack(x) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(packed, pa.binary())], ["doc_id", "tie", "packed"])
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, tie long, packed binary")
+
+
+def _pack(text: str) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> str:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+
+
 def compare_next(docs: DataFrame) -> DataFrame:
     """Each document against itself edited and against the next one.
 
     Rows are dealt by ranges of doc_id and sorted; inside a range a row's successor follows it.  What crosses ranges is
-    one text at either end of each: two rows for each partition, which one last task puts together.
+    one text at either end of each: the last row of a range meets the first of the next range that has rows, by a join on
+    the numbers of the ranges.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions_for(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = _packed(docs).repartitionByRange(partitions_for(docs.sparkSession), "doc_id")
 
-    def batch(ids: pa.Array, rows: list[tuple], edge: list, texts: list) -> pa.RecordBatch:
+    def batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_TYPES), _TYPES, strict=True)]
-        return pa.RecordBatch.from_arrays([ids, *columns, pa.array(edge, pa.int32()), pa.array(texts, pa.string())], ["doc_id", *_NAMES, "edge", "text"])
-
-    empty = (None,) * len(_TYPES)
+        return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *_NAMES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (id, text) of the row before this chunk
-        for part in chunks(batches):
-            ids, texts = part.column("doc_id"), part.column("text").to_pylist()
-            if last is None:
-                yield batch(ids.slice(0, 1), [empty], [0], texts[:1])
-            else:
+        for part in chunks(batches, "packed", CHUNK_BYTES // 2):
+            ids, texts = part.column("doc_id"), [_unpack(x) for x in part.column("packed").to_pylist()]
+            if last is not None:
                 ids, texts = pa.concat_arrays([last[0], ids]), [last[1], *texts]
             rows = _compare(texts)
             if rows:
-                yield batch(ids.slice(0, len(rows)), rows, [None] * len(rows), [None] * len(rows))
+                yield batch(ids.slice(0, len(rows)), rows)
             last = ids.slice(len(ids) - 1, 1), texts[-1]
-        if last is not None:
-            yield batch(last[0], [empty], [1], [last[1]])
-
-    done = materialize(dealt.mapInArrow(run, f"doc_id {kind}, {_COLUMNS}, edge int, text string"), "embedding", "zstd")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"])
-        firsts, lasts = (sorted((r for r in rows if r["edge"] == e), key=key) for e in (0, 1))
-        for i, row in enumerate(lasts):  # the range after the last is the first
-            found = _compare([row["text"], firsts[(i + 1) % len(firsts)]["text"]])
-            yield batch(pa.array([row["doc_id"]], pa.from_numpy_dtype(np.int64) if kind == "bigint" else None), found, [None], [None]).select(["doc_id", *_NAMES])
 
-    edges = done.where("edge is not null").select("doc_id", "edge", "text").coalesce(1).mapInArrow(close, f"doc_id {kind}, {_COLUMNS}")
-    return done.where("edge is null").select("doc_id", *_NAMES).union(edges)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for i, (one, other) in enumerate(zip(part.column("packed").to_pylist(), part.column("following").to_pylist(), strict=True)):
+                yield batch(part.column("doc_id").slice(i, 1), _compare([_unpack(one), _unpack(other)]))
+
+    columns = f"doc_id {kind}, {_COLUMNS}"
+    rows = dealt.sortWithinPartitions("doc_id", "tie").mapInArrow(inside, columns)
+    place, row = F.struct("doc_id", "tie"), F.struct("doc_id", "packed")
+    ends = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    order = Window.orderBy("range")  # of the numbers alone, one for each range
+    following = F.coalesce(F.lead("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    numbers = ends.select("range").select("range", following.alias("following_range"))
+    firsts = ends.select(F.col("range").alias("following_range"), F.col("first.packed").alias("following"))
+    pairs = ends.select("range", "last").join(numbers, "range").join(firsts, "following_range").select("last.doc_id", "last.packed", "following")
+    return rows.union(pairs.mapInArrow(across, columns))
 
 
 def _links(written: list[str], other: np.ndarray | None, least: float) -> list[tuple[int, int]]:
