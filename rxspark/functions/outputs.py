@@ -26,7 +26,7 @@ def primary(text: str) -> dict[str, Any]:
     elif marked := FINAL.search(text):
         found = marked[1]
     else:
-        raise NoSolution("No JSON object found in model output")
+        raise NoSolution("there are no braces in the output")
     for attempt in (found, TRAILING_COMMA.sub(r"\1", found)):
         try:
             solution = json.loads(attempt)
@@ -34,12 +34,12 @@ def primary(text: str) -> dict[str, Any]:
         except ValueError as e:
             error = e
     else:
-        raise NoSolution(f"Invalid JSON in model output: {error}")
+        raise NoSolution(f"what stands in braces is no JSON: {error}")
     if not isinstance(solution, dict):
-        raise NoSolution("Solution must be a JSON object")
+        raise NoSolution("a solution is an object")
     solution = {"flags": "", "unsat": False} | solution
     if not solution["unsat"] and "ast" not in solution:
-        raise NoSolution("Solution must contain 'ast' field when satisfiable")
+        raise NoSolution("a solution that can be met needs a tree under 'ast'")
     return solution
 
 
@@ -68,7 +68,7 @@ def parse(text: str | None, strict: bool = False) -> dict[str, Any]:
                 raise
             solution = fallback(text or "")
             if solution is None:
-                raise NoSolution("Could not extract valid solution from model output") from None
+                raise NoSolution("no solution was found in the output") from None
         return {"solution": json.dumps(solution), "error": None}
     except (NoSolution, RecursionError) as e:
         return {"solution": None, "error": str(e)}

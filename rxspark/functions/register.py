@@ -13,7 +13,7 @@ from .matching import compiled
 
 _COMPILED = StructType().add("pattern", StringType()).add("flags", IntegerType()).add("error", StringType())
 _PARSED = StructType().add("solution", StringType()).add("error", StringType())
-_NODES = StructType().add("node_id", IntegerType()).add("parent_id", IntegerType()).add("position", IntegerType()).add("depth", IntegerType()).add("kind", StringType()).add("pattern", StringType())
+_NODES = StructType().add("node_id", IntegerType()).add("parent_id", IntegerType()).add("position", IntegerType()).add("depth", IntegerType()).add("kind", StringType()).add("pattern", StringType()).add("min_width", IntegerType()).add("max_width", IntegerType())
 
 
 @F.pandas_udf(BooleanType())

@@ -19,26 +19,15 @@ def explode_strings(entries: DataFrame, keys: list[str]) -> DataFrame:
     return lists.select(*keys, "expr", "label", F.posexplode("list").alias("pos", "s"))
 
 
-def validate(entries: DataFrame, keys: tuple[str, ...] = ("path", "entry_idx"), seconds: float | None = None) -> DataFrame:
+def validate(entries: DataFrame, seconds: float | None = None) -> DataFrame:
     """``entries`` with ``yes`` that match and ``no`` that don't, in their order and with repeats, ``validation_error``, and
-    the counts original_/kept_/removed_ of both lists.  A bad pattern empties both lists; strings that are null go.  With
-    ``seconds`` a match that takes longer fails its entry, likewise."""
-    keys = list(keys)
-    matched = matching.full_match(explode_strings(entries, keys), seconds=seconds)
-    kept = F.when(F.col("label") == "yes", F.col("matched")).otherwise(~F.col("matched"))
-    pick = lambda label: F.transform(F.array_sort(F.collect_list(F.when(kept & (F.col("label") == label), F.struct("pos", "s")))), lambda x: x["s"])
-    lists = matched.groupBy(*keys).agg(pick("yes").alias("kept_yes"), pick("no").alias("kept_no"), F.min("match_error").alias("late"))
+    the counts original_/kept_/removed_ of both lists.  A bad pattern empties both lists; strings that are null go.  An entry
+    that takes longer than ``seconds`` fails, likewise."""
     rest = [c for c in entries.columns if c not in ("yes", "no")]
-    errors = entries.select("expr").distinct().select("expr", matching.classify(F.col("expr"))["error"].alias("bad"))
-    sized = entries.select(*rest, F.size("yes").cast("long").alias("original_yes"), F.size("no").cast("long").alias("original_no"))
-    out = sized.join(lists, keys, "left").join(errors, "expr", "left").withColumn("validation_error", F.coalesce("bad", "late"))
-    none = F.array().cast("array<string>")
-    good = F.col("validation_error").isNull()
-    out = out.withColumns({"yes": F.when(good, F.coalesce("kept_yes", none)).otherwise(none), "no": F.when(good, F.coalesce("kept_no", none)).otherwise(none)})
-    out = out.withColumns({f"kept_{x}": F.size(x).cast("long") for x in ("yes", "no")})
-    out = out.withColumns({f"removed_{x}": F.col(f"original_{x}") - F.col(f"kept_{x}") for x in ("yes", "no")})
-    counts = [f"{a}_{x}" for a in ("original", "kept", "removed") for x in ("yes", "no")]
-    return with_ratios(out.select(*rest, "yes", "no", "validation_error", *counts))
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    done = matching.match_lists(entries, seconds=seconds)
+    out = done.select(*rest, F.col("rx_yes").alias("yes"), F.col("rx_no").alias("no"), F.col("rx_error").alias("validation_error"), *(size(x).alias(f"original_{x}") for x in ("yes", "no")), *(size(f"rx_{x}").alias(f"kept_{x}") for x in ("yes", "no")))
+    return with_ratios(out.withColumns({f"removed_{x}": F.col(f"original_{x}") - F.col(f"kept_{x}") for x in ("yes", "no")}))
 
 
 def with_ratios(df: DataFrame) -> DataFrame:

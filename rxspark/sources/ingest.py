@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .shared import exists
+
 DEFAULT_DESCRIPTION = "No description provided"
 MISSING_PROMPT = "fnfe"
 BLANKS = " \t\r\n\x0b\x0c"
@@ -93,8 +95,12 @@ def first(df: DataFrame, n: int, by: str) -> DataFrame:
     return df.orderBy(by).limit(n)
 
 
-def prompt_template(path: str) -> str:
-    """A template file's text; the literal ``MISSING_PROMPT`` if there is none."""
+def prompt_template(path: str, spark: SparkSession | None = None) -> str:
+    """A template file's text, read by Spark if a session is given; the literal ``MISSING_PROMPT`` if there is none."""
+    if spark is not None:
+        if not exists(spark, path):
+            return MISSING_PROMPT
+        return spark.read.text(path, wholetext=True).first()["value"]
     try:
         with open(path, encoding="utf-8") as f:
             return f.read()

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import exists
+
+BATCH, SNAPSHOT = "rx_batch", "rx_snapshot"
+
 
 def write_entries(valid: DataFrame, path: str) -> None:
     """Cleaned entries as JSON lines, a folder for each source path; files of one name in different folders stay apart."""
@@ -27,13 +33,30 @@ def write_stats(stats: DataFrame, path: str, single: bool = False) -> None:
 
 
 def upsert(results: DataFrame, path: str, index: str = "index") -> DataFrame:
-    """Append results whose index isn't stored yet; returns what was appended."""
+    """Store results whose index isn't stored yet, one for each index, in a folder of their own below ``path``; returns what was
+    stored, read back."""
     spark = results.sparkSession
-    if _exists(spark, path):
+    if exists(spark, path):
         results = pending(results, spark.read.parquet(path), index)
-    results = results.dropDuplicates([index])
-    results.write.mode("append").parquet(path)
-    return results
+    own = f"{path}/{BATCH}={uuid.uuid4().hex}"
+    results.dropDuplicates([index]).write.parquet(own)
+    return spark.read.schema(results.schema).parquet(own)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """All that ``upsert`` has stored below ``path``."""
+    return spark.read.parquet(path).drop(BATCH)
+
+
+def write_snapshots(results: DataFrame, path: str, every: int = 50, index: str = "index") -> None:
+    """Results with the snapshot that first holds them: one is taken at each index that ``every`` divides, 0 included, and one
+    at the end.  A row is written once, however many snapshots hold it."""
+    results.withColumn(SNAPSHOT, F.ceil(F.col(index) / every).cast("long")).write.mode("overwrite").partitionBy(SNAPSHOT).parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """Snapshot ``number`` (from 0): the results up to index ``number * every``; only their folders are read."""
+    return spark.read.parquet(path).where(F.col(SNAPSHOT) <= number).drop(SNAPSHOT)
 
 
 def pending(work: DataFrame, done: DataFrame, key: str = "index") -> DataFrame:
@@ -51,8 +74,3 @@ def dataset_statistics(results: DataFrame) -> DataFrame:
     """Totals, and averages for a pattern to one decimal."""
     n = lambda c: F.sum(F.size(c)).cast("long")
     return results.agg(F.count("*").alias("patterns"), n("yes").alias("yes_total"), n("no").alias("no_total"), F.round(F.avg(F.size("yes")), 1).alias("yes_avg"), F.round(F.avg(F.size("no")), 1).alias("no_avg"))
-
-
-def _exists(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
