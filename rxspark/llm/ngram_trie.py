@@ -21,8 +21,12 @@ Execution, with nothing of the corpus's size on the driver or in a broadcast:
     it, level by level, each word by successor search within its context's children; codes go back to the blocks.
 4.  A block puts the codes back in the places of its tokens and sums them up for each document.
 
+A shard's blocks are looked up together, so a message costs little besides its bytes; a block sends messages to the shards that
+its windows belong to, at most one for each window.
+
 Nulls: a null text is empty and consists of its end; a null ``train`` is not trained on.  Rows that repeat count each time.
-Without training rows all words are unknown with probability 1.
+Without training rows all words are unknown with probability 1; an empty table has no rows.  Texts are scored whole, however
+long, and columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ from .base import chunks, materialize, partitions_for, remainder, table
 from .elias_fano import VALUES, Trie, quantise
 from .textscan import U, mix, ranges
 
-HOT, BLOCK_BYTES, SHARD_WINDOWS, REGISTERS = 256, 8 << 20, 500_000, 12
+HOT, BLOCK_BYTES, SHARD_WINDOWS, REGISTERS = 256, 8 << 20, 1_000_000, 12
+#: Windows that a shard looks up at once, of as many blocks as it takes.
+AT_ONCE = 1 << 19
 _NONE, _BEGIN, _END = 0, 1, 2  # in place of word hashes, and their indices in every vocabulary
 
 
@@ -259,14 +265,24 @@ def _windows(vocabulary: np.ndarray, index: np.ndarray, sizes: np.ndarray, train
     return Windows(u[order], v[order], w[order], counts[order], np.searchsorted(shard[order], np.arange(shards + 1)), place[back])
 
 
-def _levels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a new u begins, and a new (u, v), in windows in order."""
-    first = np.append(True, u[1:] != u[:-1])[: len(u)]
-    return first, first | np.append(True, v[1:] != v[:-1])[: len(u)]
+class Levels(NamedTuple):
+    """Where new contexts begin in a block's windows, and those of each shard: contexts[cuts[s]:cuts[s + 1]]."""
+
+    one: np.ndarray  # windows that begin a new u, or a shard
+    two: np.ndarray  # windows that begin a new (u, v), or a shard
+    cuts1: np.ndarray
+    cuts2: np.ndarray
+
+
+def _levels(x: Windows) -> Levels:
+    first = np.append(True, x.u[1:] != x.u[:-1])[: len(x.u)]
+    first[x.cuts[:-1][x.cuts[:-1] < len(x.u)]] = True
+    one, two = np.flatnonzero(first), np.flatnonzero(first | np.append(True, x.v[1:] != x.v[:-1])[: len(x.u)])
+    return Levels(one, two, np.searchsorted(one, x.cuts), np.searchsorted(two, x.cuts))
 
 
 def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
-    """(shard, block, data): each block's windows for each shard."""
+    """(shard, block, data): each block's windows for each shard that it has some for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,18 +290,14 @@ def messages(skeleton: DataFrame, hot: Hot, shards: int) -> DataFrame:
                 vocabulary, *rest = _trained(data.as_py())
                 x = _windows(vocabulary, *rest, hot, shards)
                 short = _short(vocabulary)
-                number, out = [], []
-                for s in range(shards):
-                    a, b = int(x.cuts[s]), int(x.cuts[s + 1])
-                    if a == b:
-                        continue
-                    one, two = _levels(x.u[a:b], x.v[a:b])
-                    begin = np.flatnonzero(two)
-                    small = np.diff(np.flatnonzero(one[two]), append=len(begin)).astype(np.uint32), np.diff(begin, append=b - a).astype(np.uint32)
-                    counts = x.trained[a:b]
-                    counts = counts.astype(np.min_scalar_type(int(counts.max())))
-                    out.append(_pack(vocabulary[x.u[a:b][one]], short[x.v[a:b][two]], _planes(short[x.w[a:b]]), *(c.astype(np.min_scalar_type(int(c.max()))) for c in small), counts))
-                    number.append(s)
+                y = _levels(x)
+                words, second, third = vocabulary[x.u[y.one]], short[x.v[y.two]], short[x.w]
+                children, children2 = np.diff(np.searchsorted(y.two, y.one), append=len(y.two)), np.diff(y.two, append=len(x.u))
+                number, out = np.flatnonzero(np.diff(x.cuts)), []
+                for s in number.tolist():
+                    i, j, k = (slice(int(c[s]), int(c[s + 1])) for c in (y.cuts1, y.cuts2, x.cuts))
+                    small = (c.astype(np.min_scalar_type(int(c.max()))) for c in (children[i], children2[j], x.trained[k]))
+                    out.append(_pack(words[i], second[j], _planes(third[k]), *small))
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([block] * len(number), pa.int64()), pa.array(out, pa.binary())], ["shard", "block", "data"])
 
     return skeleton.mapInArrow(run, "shard int, block long, data binary")
@@ -318,7 +330,7 @@ def build(parts: list[list[np.ndarray]], hot: Hot) -> Trie:
     return Trie(words, second, third, begin, begin2, c1.astype(np.int64), codes)
 
 
-def answer(trie: Trie, part: list[np.ndarray], hot: Hot) -> bytes:
+def look_up(trie: Trie, part: list[np.ndarray], hot: Hot) -> list[np.ndarray]:
     """For a part's words their counts, for its pairs and triples their codes."""
     words, second, third, children, children2, _ = part
     children, children2 = children.astype(np.int64), children2.astype(np.int64)
@@ -335,7 +347,24 @@ def answer(trie: Trie, part: list[np.ndarray], hot: Hot) -> bytes:
     c1, m1, m2 = count[parent], _damp(count)[parent], _damp(known)
     pair = np.where(known > 0, quantise(np.maximum(known, 0) / (c1 + m1)), at(trie.codes["pair"], two, 0))
     rest2 = np.where(known > 0, quantise(m2 / (np.maximum(known, 0) + m2)), at(trie.codes["rest2"], two, 1))
-    return _pack(count.astype(np.min_scalar_type(int(count.max()))), *map(_planes, (pair, rest2, at(trie.codes["triple"], three, 0))))
+    return [count, pair, rest2, at(trie.codes["triple"], three, 0)]
+
+
+def answers(trie: Trie, parts: list[list[np.ndarray]], hot: Hot) -> Iterator[bytes]:
+    """The answer to each part, those of about AT_ONCE windows looked up together."""
+    first = 0
+    while first < len(parts):
+        last, windows = first, 0
+        while last < len(parts) and (windows == 0 or windows + len(parts[last][2]) <= AT_ONCE):
+            windows += len(parts[last][2])
+            last += 1
+        own = parts[first:last]
+        count, *codes = look_up(trie, [np.concatenate(x) for x in zip(*own, strict=True)], hot)
+        ends = [np.cumsum([len(p[k]) for p in own]) for k in (0, 1, 1, 2)]
+        for i, p in enumerate(own):
+            c, *rest = (x[e[i] - len(p[k]) : e[i]] for x, e, k in zip((count, *codes), ends, (0, 1, 1, 2), strict=True))
+            yield _pack(c.astype(np.min_scalar_type(int(c.max()))), *map(_planes, rest))
+        first = last
 
 
 def replies(sent: DataFrame, hot: Hot) -> DataFrame:
@@ -346,7 +375,7 @@ def replies(sent: DataFrame, hot: Hot) -> DataFrame:
         trie = build(parts, hot)
         shard = rows.column("shard")[0].as_py()
         own = int((~np.isin(trie.words.get(np.arange(trie.words.n)), hot.words)).sum())  # words that no other shard has
-        out = [*[answer(trie, p, hot) for p in parts], _pack(np.array([own]))]
+        out = [*answers(trie, parts, hot), _pack(np.array([own]))]
         return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1 - shard], pa.int64()), "shard": pa.array([shard] * len(out), pa.int32()), "data": pa.array(out, pa.binary())})
 
     return sent.groupBy("shard").applyInArrow(run, "block long, shard int, data binary")
@@ -375,14 +404,16 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         x = _windows(vocabulary, index, sizes, trained, hot, shards)
         n = len(x.u)
         count, pair, rest2, triple = np.zeros(n, np.int64), *(np.zeros(n, np.uint16) for _ in range(3))
-        for i in range(len(shard)):
-            a, b = int(x.cuts[shard[i]]), int(x.cuts[shard[i] + 1])
-            one, two = (np.cumsum(f) - 1 for f in _levels(x.u[a:b], x.v[a:b]))
-            got, *codes = _unpack(rows.column("data")[i].as_py())
-            codes = [_whole(y, np.uint16) for y in codes]
+        y = _levels(x)
+        of_one, of_two = (np.repeat(np.arange(len(f)), np.diff(f, append=n)) for f in (y.one, y.two))
+        for s, data in zip(shard.tolist(), rows.column("data"), strict=True):
+            a, b = int(x.cuts[s]), int(x.cuts[s + 1])
+            got, *codes = _unpack(data.as_py())
+            codes = [_whole(c, np.uint16) for c in codes]
+            one, two = of_one[a:b] - y.cuts1[s], of_two[a:b] - y.cuts2[s]
             count[a:b], pair[a:b], rest2[a:b], triple[a:b] = got[one], codes[0][two], codes[1][two], codes[2]
         rest = quantise(_damp(count) / (count + _damp(count)))
-        count, rest, pair, rest2, triple = (y[x.back] for y in (count, rest, pair, rest2, triple))
+        count, rest, pair, rest2, triple = (c[x.back] for c in (count, rest, pair, rest2, triple))
         begin = np.cumsum(sizes) - sizes
         inner = np.ones(len(index), bool)
         inner[begin] = False
@@ -393,7 +424,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         far = at[second] - 2
         p[second] = VALUES[triple[far]] + VALUES[rest2[far]] * p[second]
         doc, m = np.repeat(np.arange(len(sizes)), sizes - 1), len(sizes)
-        sums = [np.bincount(doc, y, m) for y in (c > 0, np.log10(c + 0.5), np.log10(np.maximum(p, 1e-300)))]
+        sums = [np.bincount(doc, z, m) for z in (c > 0, np.log10(c + 0.5), np.log10(np.maximum(p, 1e-300)))]
         ids = own.column("ids")[0].values
         return pa.table({"doc_id": ids, "n_tokens": pa.array(sizes - 1, pa.int64()), "n_known": pa.array(sums[0].astype(np.int64)), "logs": pa.array(sums[1]), "score": pa.array(sums[2]), "words": pa.nulls(m, pa.int64())})
 

@@ -65,6 +65,10 @@ def test_token_counts(odd, none):
     given = odd.where("doc_id = 13").withColumn("at", F.expr("array(0, 2, 50)"))
     assert [r.start_char for r in token_counts.attribute(given, ranks, pattern, "at").orderBy("section").collect()] == [0, 2, 50]
     assert token_counts.attribute(none, ranks, pattern).count() == 0
+    coder, _ = token_counts._coder(ranks, pattern)
+    for text in (" " * 9000, "a" + " " * 9000 + "b c", "\n" * 5000 + "x" + "\u3000" * 4097 + "1!", " \n" * 4000 + "it's" + "\t" * 4096 + "y"):
+        assert token_counts.encode(coder, text).tolist() == coder.encode_ordinary(text)
+    assert sum(token_counts.encode(coder, "x" + " " * 1_200_000 + "y") >= 0) > 0
     assert token_counts.allocate("abcd", np.array([3, 1]), np.array([0, 1])).tolist() == [1, 1]
     assert token_counts.allocate("abcd", np.array([2, 2]), np.array([0, 1])).tolist() == [0, 1]
 
@@ -213,7 +217,7 @@ def test_rare_after_very_frequent():
     damp = lambda c: 4 * c**0.7
     frequent = ngram_trie.Hot(np.array([7 << 32, 100 << 32], np.uint64), np.array([10, c1]), np.array([ngram_trie.HOT]), np.array([10]))
     for hot in (ngram_trie.Hot(np.zeros(0, np.uint64), none, none, none), frequent):
-        count, *codes = ngram_trie._unpack(ngram_trie.answer(ngram_trie.build([rows], hot), rows, hot))
+        count, *codes = ngram_trie._unpack(next(ngram_trie.answers(ngram_trie.build([rows], hot), [rows], hot)))
         pair, rest2, triple = (elias_fano.VALUES[ngram_trie._whole(x, np.uint16)] for x in codes)
         assert count.tolist() == [c1]
         for found, true in ((pair, c2 / (c1 + damp(c1))), (rest2, damp(c2) / (c2 + damp(c2))), (triple, np.array([10, 250_000_000, 1]) / (c2 + damp(c2))[[0, 1, 1]])):
@@ -503,6 +507,9 @@ def test_fingerprints(spark, sf_dir, texts, odd, none):
     assert np.mean([r.near_next < 0.15 for r in found]) > 0.9
     rows = edit_embedding.compare_next(odd).collect()
     assert len(rows) == len(ROWS) and edit_embedding.compare_next(none).count() == 0
+    for kind in ("int", "string"):
+        other = edit_embedding.compare_next(odd.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        assert Counter((r.edited_sha256 if kind == "int" else r.fingerprint) for r in other) == Counter((r.edited_sha256 if kind == "int" else r.fingerprint) for r in rows)
     prints = {r.doc_id: r.fingerprint for r in rows}
     assert prints[4] == prints[5] and prints[0] == prints[1] == ""
     assert edit_embedding.likeness("", "") == 1 and edit_embedding.likeness("", prints[4]) == 0
