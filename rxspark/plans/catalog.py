@@ -5,41 +5,22 @@ Integers are cast to BIGINT and constants to DOUBLE on both sides; doubles are r
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prompts, register
+from ..functions import matching, prompts
 from ..operators import score, validate
 from ..sources import ingest
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import files, trees  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import query as _query
+from .registry import read as _read
 
 
 def _r(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def _full(pattern: str) -> str:
-    return rf"\A(?:{pattern})\z"
-
-
 #: Candidate patterns (index, pattern): ASCII only, and alike in all engines.
 EVENT_PATTERNS = [(0, "p[a-z]+"), (1, "(purchase|signup)"), (2, "[a-z]*u[a-z]*"), (3, "purchase"), (4, "signup|purchase|click")]
 PART_PATTERNS = [(0, "Brand#[1-3][0-9]*"), (1, "Brand#1[0-9]"), (2, "Brand#.*"), (3, "B.*1.*")]
@@ -78,12 +59,14 @@ def _event_sql(keys: str = "") -> str:
 
 @_query(r"SELECT o_orderkey, o_orderpriority FROM orders WHERE regexp_full_match(o_orderpriority, '[1-2]-[A-Z]+')")
 def fullmatch_filter(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").where(F.col("o_orderpriority").rlike(_full("[1-2]-[A-Z]+"))).select("o_orderkey", "o_orderpriority")
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.lit("[1-2]-[A-Z]+").alias("expr"))
+    return matching.full_match(o, text="o_orderpriority").where("matched").select("o_orderkey", "o_orderpriority")
 
 
 @_query("SELECT c_custkey, c_mktsegment FROM customer WHERE NOT regexp_full_match(c_mktsegment, '[A-H][A-Z]*')")
 def antimatch_filter(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").where(~F.col("c_mktsegment").rlike(_full("[A-H][A-Z]*"))).select("c_custkey", "c_mktsegment")
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.lit("[A-H][A-Z]*").alias("expr"))
+    return matching.full_match(c, text="c_mktsegment").where("not matched").select("c_custkey", "c_mktsegment")
 
 
 @_query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '[0-9]+[.][0-9]+')")
@@ -173,20 +156,20 @@ def reward_stats(spark, sf_dir):
 @_query("""SELECT p_brand, string_agg(p_name, ';' ORDER BY p_partkey) FILTER (regexp_full_match(p_name, '.*a.*')) AS yes_kept,
     count(*) FILTER (NOT regexp_full_match(p_name, '.*a.*')) AS removed FROM part GROUP BY p_brand""")
 def entry_filter_lists(spark, sf_dir):
-    keep = F.col("p_name").rlike(_full(".*a.*"))
-    p = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.when(keep, F.struct("p_partkey", "p_name")))).alias("kept"), F.count_if(~keep).alias("removed"))
-    return p.select("p_brand", F.when(F.size("kept") > 0, F.array_join("kept.p_name", ";")).alias("yes_kept"), "removed")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"])
+    p = _read(spark, sf_dir, "part").groupBy("p_brand").agg(names.alias("yes")).select("p_brand", F.lit(".*a.*").alias("expr"), "yes", F.array().cast("array<string>").alias("no"))
+    v = validate.validate(p)
+    return v.select("p_brand", F.when(F.size("yes") > 0, F.array_join("yes", ";")).alias("yes_kept"), F.col("removed_yes").alias("removed"))
 
 
 _DOC_RULE = "[A-Za-z ,.]*"
 
 
 def _doc_entries(spark, sf_dir):
-    """Each document as an entry of one file per source: its text should match a pattern of plain characters."""
+    """Each document as a validated entry of one file per source: its text should match a pattern of plain characters."""
     d = _read(spark, sf_dir, "documents")
-    m = F.col("text").rlike(_full(_DOC_RULE)).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    return d.select(F.col("source").alias("path"), F.col("doc_id").alias("entry_idx"), F.col("text").alias("expr"), one.alias("original_yes"), F.lit(0).cast("bigint").alias("original_no"), m.alias("kept_yes"), F.lit(0).cast("bigint").alias("kept_no"), (one - m).alias("removed_yes"), F.lit(0).cast("bigint").alias("removed_no"))
+    none = F.array().cast("array<string>")
+    return validate.validate(d.select(F.col("source").alias("path"), F.col("doc_id").alias("entry_idx"), F.lit(_DOC_RULE).alias("expr"), F.array("text").alias("yes"), none.alias("no")))
 
 
 @_query(f"""SELECT source AS path, count(*) AS entries, count(*) AS original_yes, count(*) FILTER (regexp_full_match(text, '{_DOC_RULE}')) AS kept_yes,
@@ -203,7 +186,7 @@ def worst_sources(spark, sf_dir):
     return validate.worst_files(s).select("path", _r(F.col("yes_accuracy")).alias("yes_accuracy"), _r(F.col("mean_accuracy")).alias("mean_accuracy"))
 
 
-@_query(f"""SELECT source AS path, doc_id AS entry_idx, substring(text, 1, 50) AS expr_start, CAST(1 AS BIGINT) AS removed_yes, CAST(0 AS BIGINT) AS removed_no
+@_query(f"""SELECT source AS path, doc_id AS entry_idx, '{_DOC_RULE}' AS expr_start, CAST(1 AS BIGINT) AS removed_yes, CAST(0 AS BIGINT) AS removed_no
     FROM documents WHERE NOT regexp_full_match(text, '{_DOC_RULE}')""")
 def problem_entries(spark, sf_dir):
     return validate.problem_entries(_doc_entries(spark, sf_dir))
@@ -217,7 +200,7 @@ def accept_first5(spark, sf_dir):
     user = F.col("role") == "user"
     lists = t.groupBy("conv_id").agg(*(F.array_sort(F.collect_list(F.when(c, F.struct("turn", "text")))).alias(n) for n, c in (("y", user), ("n", ~user))))
     entries = lists.select("conv_id", F.lit("[Tt]h").alias("expr"), F.col("y.text").alias("yes"), F.col("n.text").alias("no"))
-    return validate.accepted(entries, native=True).select("conv_id")
+    return validate.accepted(entries).select("conv_id")
 
 
 @_query(r"""SELECT doc_id, count(*) AS n_lines, CAST(max(length(x)) AS BIGINT) AS longest FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS x FROM documents) WHERE x <> '' GROUP BY doc_id""")
@@ -248,53 +231,6 @@ def prompt_numbered_examples(spark, sf_dir):
     return n.select("n_regionkey", prompts.generation("Pattern: {pattern}", F.lit("[A-Z]+"), F.col("names")).alias("prompt"))
 
 
-@_query(r"""SELECT page_id, replace(replace(replace(regexp_replace(url, '([.^$*+?{}\[\]()|\\])', '\\\1', 'g'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') AS escaped FROM pages""")
-def escape_literal(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", register.escape_literal(F.col("url")).alias("escaped"))
-
-
-@_query("""SELECT DISTINCT l_linenumber AS low, CASE WHEN p_size % 3 = 0 THEN -1 ELSE l_linenumber + p_size % 3 - 1 END AS high,
-    CASE WHEN p_size % 3 = 0 THEN CASE l_linenumber WHEN 1 THEN '+' ELSE '{' || l_linenumber || ',}' END
-         WHEN p_size % 3 = 1 THEN '{' || l_linenumber || '}' ELSE '{' || l_linenumber || ',' || (l_linenumber + 1) || '}' END AS suffix
-    FROM lineitem JOIN part ON l_partkey = p_partkey""")
-def quantifier_render(spark, sf_dir):
-    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    li = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber").join(part, "l_partkey")
-    pairs = li.select(F.col("l_linenumber").alias("low"), F.when(F.col("p_size") % 3 != 0, F.col("l_linenumber") + F.col("p_size") % 3 - 1).alias("high")).distinct()
-    return pairs.select("low", F.coalesce("high", F.lit(-1)).alias("high"), register.quantifier(F.col("low"), F.col("high")).alias("suffix"))
-
-
-@_query("""WITH r AS (SELECT DISTINCT p_brand, p_size AS a, p_size + p_partkey % 3 AS b FROM part),
-    g AS (SELECT *, max(b) OVER (PARTITION BY p_brand ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r),
-    i AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand ORDER BY a, b) AS k FROM g)
-    SELECT p_brand, CAST(min(a) AS BIGINT) AS a, CAST(max(b) AS BIGINT) AS b FROM i GROUP BY p_brand, k""")
-def range_merge(spark, sf_dir):
-    r = _read(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("bigint").alias("a"), (F.col("p_size") + F.col("p_partkey") % 3).cast("bigint").alias("b")).distinct()
-    w = Window.partitionBy("p_brand").orderBy("a", "b")
-    r = r.withColumn("m", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    r = r.withColumn("k", F.sum(F.when(F.col("m").isNull() | (F.col("a") > F.col("m") + 1), 1).otherwise(0)).over(w))
-    return r.groupBy("p_brand", "k").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("k")
-
-
-@_query("SELECT p_partkey, '[' || array_to_string(list_sort(list_distinct(string_split(replace(p_name, ' ', ''), ''))), '') || ']' AS charset FROM part")
-def charset_canonical(spark, sf_dir):
-    chars = F.array_sort(F.array_distinct(F.filter(F.split(F.replace(F.col("p_name"), F.lit(" ")), ""), lambda x: x != "")))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(chars, ""), F.lit("]")).alias("charset"))
-
-
-@_query("""SELECT c_custkey, f AS flags, CASE WHEN NOT regexp_full_match(f, '[imsa]*') THEN CAST(-1 AS BIGINT) ELSE CAST((CASE WHEN contains(f, 'i') THEN 2 ELSE 0 END) + (CASE WHEN contains(f, 'm') THEN 8 ELSE 0 END)
-    + (CASE WHEN contains(f, 's') THEN 16 ELSE 0 END) + (CASE WHEN contains(f, 'a') THEN 256 ELSE 0 END) AS BIGINT) END AS bits FROM (SELECT c_custkey, lower(substring(c_mktsegment, 2, c_custkey % 3)) AS f FROM customer)""")
-def flag_bits(spark, sf_dir):
-    c = _read(spark, sf_dir, "customer").select("c_custkey", F.lower(F.expr("substring(c_mktsegment, 2, cast(c_custkey % 3 as int))")).alias("flags"))
-    return c.select("c_custkey", "flags", F.coalesce(register.flag_bits(F.col("flags")), F.lit(-1)).cast("bigint").alias("bits"))
-
-
-@_query("SELECT doc_id, CASE WHEN length(text) > 128 THEN 'pattern too long: ' || length(text) || ' > 128' END AS error FROM documents")
-def length_cap(spark, sf_dir):
-    n = F.length("text")
-    return _read(spark, sf_dir, "documents").select("doc_id", F.when(n > 128, F.concat(F.lit("pattern too long: "), n, F.lit(" > 128"))).alias("error"))
-
-
 @_query("""SELECT count(*) AS patterns, CAST(sum(u) AS BIGINT) AS yes_total, CAST(sum(a) AS BIGINT) AS no_total, round(avg(u), 1) AS yes_avg, round(avg(a), 1) AS no_avg
     FROM (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role <> 'user') AS a FROM conversations GROUP BY conv_id)""")
 def dataset_averages(spark, sf_dir):
@@ -311,14 +247,6 @@ def pending_work(spark, sf_dir):
     return pending(_read(spark, sf_dir, "documents").select("doc_id", "source"), _read(spark, sf_dir, "labels"), "doc_id")
 
 
-@_query("SELECT doc_id, lang, quality IS NOT NULL AS done FROM documents LEFT JOIN labels USING (doc_id)")
-def resume_merge(spark, sf_dir):
-    from ..sources.sinks import pending
-
-    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "lang"), _read(spark, sf_dir, "labels").select("doc_id")
-    return docs.join(labels, "doc_id", "left_semi").withColumn("done", F.lit(True)).union(pending(docs, labels, "doc_id").withColumn("done", F.lit(False)))
-
-
 @_query("SELECT r_name AS file, count(n_nationkey) AS entries FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def count_entries(spark, sf_dir):
     n = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -335,45 +263,6 @@ def prompt_solver(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", prompts.solver("sys", "dev", F.array("p_name"), F.array("p_brand")).alias("prompt"))
 
 
-# -- without SQL ----------------------------------------------------------------------------------------------------
-
-
-def _word_entries(spark, sf_dir):
-    """An entry for each source: the first words of its documents, with a pattern that Python reads and the JVM may not."""
-    word = F.regexp_extract("text", r"^(\S+)", 1)
-    d = _read(spark, sf_dir, "documents").select("source", word.alias("w")).distinct()
-    cap = F.col("w").rlike("^[A-Z]")
-    pattern = F.when(F.crc32("source") % 2 == 0, r"(?P<first>[A-Z])[a-z]*").otherwise(r"[A-Z][a-z]*")
-    lists = d.groupBy("source").agg(F.array_sort(F.collect_list(F.when(cap, F.col("w")))).alias("yes"), F.array_sort(F.collect_list(F.when(~cap, F.col("w")))).alias("no"))
-    return lists.select(F.col("source").alias("path"), F.lit(0).alias("entry_idx"), pattern.alias("expr"), "yes", "no")
-
-
-@_query()
-def validate_entries(spark, sf_dir):
-    return validate.validate(_word_entries(spark, sf_dir), seconds=1.0)
-
-
-def _solutions(spark, sf_dir):
-    """Model outputs about parts: a tree that spells the brand's number as a class, with text around it."""
-    tree = F.concat(F.lit('Thinking {x}. final: {"flags": "i", "ast": {"type": "seq", "items": [{"type": "lit", "value": "Brand#"}, {"type": "repeat", "min": 1, "max": 2, "child": {"type": "charclass", "items": [{"type": "range", "from": "'), F.expr("cast(p_size % 10 as string)"), F.lit('", "to": "9"}]}}]}}'))
-    plain = F.concat(F.lit('{"flags": "", "ast": {"type": "lit", "value": "'), "p_brand", F.lit('"}}'))
-    return _read(spark, sf_dir, "part").select(F.col("p_type").alias("problem_id"), F.col("p_partkey").alias("candidate_idx"), F.when(F.col("p_partkey") % 2 == 0, plain).otherwise(F.replace(tree, F.lit("Thinking {x}. "))).alias("output"))
-
-
-@_query()
-def evaluate_outputs(spark, sf_dir):
-    brand = F.col("p_brand")
-    problems = _read(spark, sf_dir, "part").groupBy(F.col("p_type").alias("problem_id")).agg(F.sort_array(F.collect_set(F.when(brand.rlike("#[1-3]"), brand))).alias("yes"), F.sort_array(F.collect_set(F.when(~brand.rlike("#[1-3]"), brand))).alias("no"))
-    return score.evaluate_outputs(_solutions(spark, sf_dir), problems, mode="fractional").drop("output", "solution")
-
-
-@_query()
-def ast_nodes(spark, sf_dir):
-    register.register(spark)
-    _solutions(spark, sf_dir).select("problem_id", register.rx_parse_output("output")["solution"].alias("solution")).distinct().createOrReplaceTempView("rx_solutions")
-    return spark.sql("SELECT problem_id, n.* FROM rx_solutions, LATERAL rx_ast_nodes(solution) n")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three candidates for the order priorities of every status, scored, normalised and ranked."""
     o = _read(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("problem_id"), F.col("o_orderpriority").alias("s")).agg(F.count("*").alias("n"))
