@@ -6,11 +6,13 @@ labels alone, by the gradient of the noisy-or likelihood with an L1 penalty of `
 trained again with a tenth of it; the sentences at fault then show by their own probabilities.
 
 Training rows are a bounded sample: of each class the ``SAMPLE`` labelled documents with the least hash of doc_id, held
-out remainders excluded, weighted by the class's whole count.  Terms of fewer than ``LEAST`` sampled texts have no
-weight.  Scoring covers whole texts of all documents.
+out remainders excluded, as long as their texts have at most ``SAMPLE_BYTES`` together, weighted by the class's whole count.
+Terms of fewer than ``LEAST`` sampled texts have no weight; they are counted by the executors and never reach the driver.
+Scoring covers whole texts of all documents.
 
-A null or empty text has no sentences and scores 0.  A doc_id labelled more than once takes its highest label; without
-labels of both classes every score is 0.
+A null or empty text has no sentences and scores 0.  A doc_id labelled more than once takes its highest label; a null one is
+never trained on and not held out.  Without labels of both classes every score is 0.  Ties in the sample's order go by
+doc_id, repeated rows are scored alike, an empty table has no rows, and columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .base import chunks, remainder, table
+from .base import chunks, materialize, remainder, table
 
-SAMPLE, LEAST, STEPS, PENALTY = 2000, 3, 250, 0.017
+SAMPLE, SAMPLE_BYTES, LEAST, STEPS, PENALTY = 2000, 64 << 20, 3, 250, 0.017
 _END = np.zeros(256, bool)
 _END[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
@@ -64,11 +66,35 @@ def sample(docs: DataFrame, labels: DataFrame, mod: int, held: int, most: int =
     own = own.where(remainder(F.col("doc_id"), mod) != held)
     counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).where("label in (0, 1)").collect()}
     parts = [own.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("weight", F.lit(max(1.0, counts.get(c, 0) / most))) for c in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * most rows
+    found = materialize(docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id"), "sample")  # at most 2 * most ids
+    sizes = found.select("label", "doc_id", F.octet_length("text").alias("n")).orderBy("label", F.xxhash64("doc_id"), "doc_id").limit(2 * most).collect()
+    total, left = {0: 0, 1: 0}, []
+    for r in sizes:
+        total[r["label"]] += r["n"] or 0
+        if total[r["label"]] > SAMPLE_BYTES // 2:
+            left.append(r["doc_id"])
+    return found.where(~F.col("doc_id").isin(left)) if left else found
+
+
+def _terms(rows: DataFrame, least: int) -> np.ndarray:
+    """The terms of ``least`` texts or more, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            w, h, *_ = _sentences(batch)
+            own = [np.unique(h[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            terms, often = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(often, pa.int64())], ["term", "n"])
+
+    found = rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("term").toArrow()["term"].to_numpy().view(np.uint64))
 
 
 def fit(rows: DataFrame) -> Model | None:
-    """The model of a sample (text, label, weight); only distinct terms of sentences reach the driver."""
+    """The model of a sample (text, label, weight); only distinct terms of sentences that have weights reach the driver."""
+    kept = _terms(rows, LEAST)
+    if not len(kept):
+        return None
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -78,29 +104,23 @@ def fit(rows: DataFrame) -> Model | None:
                 own = np.stack([np.repeat(sentence[a:b], 3).astype(np.uint64), h[a:b].ravel()], 1)
                 own = own[np.lexsort((own[:, 1], own[:, 0]))]
                 own = own[np.append(True, (own[1:] != own[:-1]).any(1))[: len(own)]]
-                terms.append(own[:, 1].astype("<u8").tobytes())
-                where.append((own[:, 0] - (own[0, 0] if len(own) else 0)).astype("<u4").tobytes())
+                inner, size = own[:, 0] - (own[0, 0] if len(own) else 0), int(own[-1, 0] - own[0, 0]) + 1 if len(own) else 0
+                at = np.minimum(np.searchsorted(kept, own[:, 1]), len(kept) - 1)
+                has = kept[at] == own[:, 1]
+                terms.append(at[has].astype("<u4").tobytes())
+                where.append(np.append(inner[has], size).astype("<u4").tobytes())  # the last: how many sentences
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label").cast(pa.int32()), batch.column("weight"), pa.array(terms, pa.binary()), pa.array(where, pa.binary())], ["doc_id", "label", "weight", "terms", "sentences"])
 
     got = rows.mapInArrow(reduce, "doc_id string, label int, weight double, terms binary, sentences binary").toArrow().sort_by("doc_id")
     label, weight = got["label"].to_numpy(), got["weight"].to_numpy()
     if len(set(label.tolist())) < 2:
         return None
-    terms = [np.frombuffer(x, "<u8") for x in got["terms"].to_pylist()]
+    terms = [np.frombuffer(x, "<u4") for x in got["terms"].to_pylist()]
     inner = [np.frombuffer(x, "<u4") for x in got["sentences"].to_pylist()]
-    kept, often = np.unique(np.concatenate([np.unique(x) for x in terms]), return_counts=True)
-    kept = kept[often >= LEAST]
-    if not len(kept):
-        return None
-    sizes = np.array([int(x.max()) + 1 if len(x) else 0 for x in inner])
+    sizes = np.array([int(x[-1]) for x in inner])
     base = np.cumsum(sizes) - sizes
-    term, sentence = [], []
-    for x, s, b in zip(terms, inner, base.tolist(), strict=True):
-        at = np.minimum(np.searchsorted(kept, x), len(kept) - 1)
-        has = kept[at] == x
-        term.append(at[has].astype(np.int32))
-        sentence.append((s[has] + b).astype(np.int32))
-    term, sentence = np.concatenate(term), np.concatenate(sentence)
+    term = np.concatenate(terms).astype(np.int32)
+    sentence = np.concatenate([s[:-1] + b for s, b in zip(inner, base.tolist(), strict=True)]).astype(np.int32)
     doc, penalty, weight = np.repeat(np.arange(len(sizes)), sizes), PENALTY / np.sqrt(len(label)), weight / weight.mean()
     first, _ = _train(term, sentence, doc, label, weight, len(kept), penalty)
     left = np.flatnonzero(first)
@@ -151,7 +171,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     pair = np.unique(np.stack([sentence[hit // 3], at[hit]], 1), axis=0)
                     x += np.bincount(pair[:, 0], model.weights[pair[:, 1]], len(doc))
                 p = 1 / (1 + np.exp(-x))
-            total = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+            total = -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)) + 0.0  # no -0.0
             starts, ends, worst = [None] * n, [None] * n, [None] * n
             for s in np.flatnonzero(p >= 0.5).tolist():
                 d = int(doc[s])
@@ -171,4 +191,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, fit(sample(docs, table(spark, sf_dir, "labels"), 5, 0)))
-    return scored.withColumns({"held_out": remainder(F.col("doc_id"), 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+    return scored.withColumns({"held_out": F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})
