@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,11 +14,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+
 #: Bytes of text handled at once by the Arrow operators; one longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,42 +29,25 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="rxspark-"))
-        import shutil
-
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return _own_dir[0]
-
-
 def materialize(df: DataFrame, name: str, compression: str = "snappy", buckets: tuple[str, int] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a result computed once, which
     survives lost executors.  The table is dropped when the driver's Python ends.  ``buckets``: a column and a
     number of buckets; grouping by that column then needs no shuffle."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rx-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    path = shared.fresh(spark, name)
     if buckets:
         named = f"rx_{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets[1], buckets[0]).option("path", path).option("compression", compression).saveAsTable(named)
+        atexit.register(_forget, spark, named)
         return spark.table(named)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    """Best effort at the end of the session: a JVM that is already gone needs no clean-up here."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001
-        pass
+def _forget(spark: SparkSession, named: str) -> None:
+    """The catalogue's entry of a table, if the session is still there."""
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {named}")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

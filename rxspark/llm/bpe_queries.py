@@ -1,6 +1,7 @@
 """Encoding and decoding of whole documents with the word-end BPE vocabulary (see ``bpe``).
 
-A null text is empty: no tokens, and the digests of the empty string.  Repeated rows give repeated results.
+A null text is empty: no tokens, and the digests of the empty string.  Repeated rows give repeated results, an empty table
+gives no rows.  Texts are encoded whole, however long; columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations

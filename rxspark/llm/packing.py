@@ -8,7 +8,9 @@ size that can't fill the pattern again, so there are at most about LENGTH * ln(L
 size are then numbered in parallel (in buckets of about ``BUCKET`` rows, so that a size which many copies share is
 spread) and take the slots of their size in order.
 
-A null text is empty; its one piece is the closing id.  Every row is packed, repeated rows too.
+A null text is empty; its one piece is the closing id.  Every row is packed, repeated rows too, with one place each; ties of
+equal pieces go by nothing else than their bucket's order.  A text of any length is cut into pieces; an empty table gives
+no rows.  Columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations

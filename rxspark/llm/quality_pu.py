@@ -14,8 +14,9 @@ A text becomes a dozen ratios of its characters, words and lines; each is cut at
 the model adds one weight for each bin.  Two bounded samples are used, the ``SAMPLE`` rows with the least hash of
 doc_id: of positives (held-out remainders excluded) and of all documents.  Scoring covers whole texts of all documents.
 
-A null text is empty and is scored like one.  A doc_id labelled more than once takes its lowest label; without two
-positives every score is 0.5.
+A null text is empty and is scored like one.  A doc_id labelled more than once takes its lowest label; a null one is in
+neither sample and not held out.  Without two positives every score is 0.5.  Ties in the samples' order go by doc_id,
+repeated rows are scored alike, an empty table has no rows, and columns besides doc_id and text are never looked at.
 """
 
 from __future__ import annotations
