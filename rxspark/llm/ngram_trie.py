@@ -47,7 +47,7 @@ from .textscan import U, mix, ranges
 
 HOT, BLOCK_BYTES, SHARD_WINDOWS, REGISTERS = 256, 8 << 20, 1_000_000, 12
 #: Windows that a shard looks up at once, of as many blocks as it takes.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
 _NONE, _BEGIN, _END = 0, 1, 2  # in place of word hashes, and their indices in every vocabulary
 
 
