@@ -10,9 +10,8 @@ in the first 64), as long as the walk lasts, written as hexadecimal digits and "
 walked.  ``likeness`` of two fingerprints is the share of equal samples, each weighted by the time that it stands for,
 less what chance gives: 1 for equal texts and near 0 for unrelated ones.
 
-Banding (``groups``; the registered query compares each document with the next one and leaves it out): sampled places of
-one interval form band keys; all documents that share a key are candidates of each other, and a link needs the likeness of
-the two fingerprints.
+Banding (``groups``): samples drawn from the time that a fingerprint fills form band keys; documents that share a key are
+candidates of each other, and a link needs the likeness of the two whole fingerprints.  Links make components.
 
 A null text is empty, its fingerprint too; two empty ones have likeness 1, an empty and another 0.  The next document is
 the next row by doc_id, then by a hash of the text; null ids come first, repeated rows follow one another.  An
@@ -102,6 +101,8 @@ def _classes(chars: np.ndarray) -> np.ndarray:
 
 
 _DIGITS = np.frombuffer(b"0123456789abcdef.", np.uint8)
+_VALUE = np.full(256, 16, np.uint8)
+_VALUE[_DIGITS] = np.arange(17)
 
 
 def _print(chars: np.ndarray, reached: np.ndarray, end: int) -> np.ndarray:
@@ -130,9 +131,7 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two written fingerprints."""
-    value = np.zeros(256, np.uint8)
-    value[_DIGITS] = np.arange(17)
-    return _likeness(*(value[np.frombuffer(x.encode(), np.uint8)] for x in (a, b)))
+    return _likeness(*(_VALUE[np.frombuffer(x.encode(), np.uint8)] for x in (a, b)))
 
 
 def _chars(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,57 +215,115 @@ def _unpack(packed: bytes) -> str:
     return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
 
 
-def compare_next(docs: DataFrame) -> DataFrame:
-    """Each document against itself edited and against the next one.
+def compare_next(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Each document against itself edited and against the next one; with ``components`` (doc_id, component_id) also the group of
+    each, null where an id has none.
 
     Rows are dealt by ranges of doc_id and sorted; inside a range a row's successor follows it.  What crosses ranges is
     one text at either end of each: the last row of a range meets the first of the next range that has rows, by a join on
-    the numbers of the ranges.
+    the numbers of the ranges.  The components are dealt along, a row without a text before the texts of its id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = _packed(docs).repartitionByRange(partitions_for(docs.sparkSession), "doc_id")
+    rows = _packed(docs).withColumn("component", F.lit(None).cast(kind))
+    if components is not None:
+        one = components.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+        rows = rows.union(one.select("doc_id", F.lit(0).cast("long"), F.lit(None).cast("binary"), "component"))
+    dealt = rows.repartitionByRange(partitions_for(docs.sparkSession), "doc_id")
 
-    def batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    def batch(ids: pa.Array, own: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_TYPES), _TYPES, strict=True)]
-        return pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *_NAMES])
+        return pa.RecordBatch.from_arrays([ids, *columns, own], ["doc_id", *_NAMES, "component_id"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (id, text) of the row before this chunk
+        last = carried = None  # (id, text, component) of the row before this chunk; the component given last
         for part in chunks(batches, "packed", CHUNK_BYTES // 2):
-            ids, texts = part.column("doc_id"), [_unpack(x) for x in part.column("packed").to_pylist()]
+            given, real = part.column("component"), part.column("packed").is_valid().to_numpy(zero_copy_only=False)
+            carried = pa.nulls(1, given.type) if carried is None else carried
+            # the row that gave a text's component: the last one before it without a text, else what the chunk before has carried
+            giver = np.maximum.accumulate(np.where(real, 0, np.arange(1, len(real) + 1)))
+            own = pa.concat_arrays([carried, given]).take(pa.array(giver[real]))
+            if (~real).any():
+                carried = given.slice(int(np.flatnonzero(~real)[-1]), 1)
+            ids, texts = part.column("doc_id").filter(pa.array(real)), [_unpack(x) for x in part.column("packed").to_pylist() if x is not None]
+            if not texts:
+                continue
             if last is not None:
-                ids, texts = pa.concat_arrays([last[0], ids]), [last[1], *texts]
-            rows = _compare(texts)
-            if rows:
-                yield batch(ids.slice(0, len(rows)), rows)
-            last = ids.slice(len(ids) - 1, 1), texts[-1]
+                ids, texts, own = pa.concat_arrays([last[0], ids]), [last[1], *texts], pa.concat_arrays([last[2], own])
+            found = _compare(texts)
+            if found:
+                yield batch(ids.slice(0, len(found)), own.slice(0, len(found)), found)
+            last = ids.slice(len(ids) - 1, 1), texts[-1], own.slice(len(own) - 1, 1)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for i, (one, other) in enumerate(zip(part.column("packed").to_pylist(), part.column("following").to_pylist(), strict=True)):
-                yield batch(part.column("doc_id").slice(i, 1), _compare([_unpack(one), _unpack(other)]))
+                yield batch(part.column("doc_id").slice(i, 1), part.column("component").slice(i, 1), _compare([_unpack(one), _unpack(other)]))
 
-    columns = f"doc_id {kind}, {_COLUMNS}"
-    rows = dealt.sortWithinPartitions("doc_id", "tie").mapInArrow(inside, columns)
-    place, row = F.struct("doc_id", "tie"), F.struct("doc_id", "packed")
-    ends = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    columns = f"doc_id {kind}, {_COLUMNS}, component_id {kind}"
+    real = F.col("packed").isNotNull()
+    found = dealt.sortWithinPartitions("doc_id", real, "tie").mapInArrow(inside, columns)
+    place, row = F.when(real, F.struct("doc_id", "tie")), F.when(real, F.struct("doc_id", "packed"))
+    ends = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"), F.max_by("component", F.when(~real, F.col("doc_id"))).alias("component")).where("last is not null")
     order = Window.orderBy("range")  # of the numbers alone, one for each range
     following = F.coalesce(F.lead("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     numbers = ends.select("range").select("range", following.alias("following_range"))
     firsts = ends.select(F.col("range").alias("following_range"), F.col("first.packed").alias("following"))
-    pairs = ends.select("range", "last").join(numbers, "range").join(firsts, "following_range").select("last.doc_id", "last.packed", "following")
-    return rows.union(pairs.mapInArrow(across, columns))
+    pairs = ends.join(numbers, "range").join(firsts, "following_range")
+    last_component = F.when(F.col("last.doc_id").isNotNull(), F.col("component")).alias("component")
+    pairs = pairs.select("last.doc_id", "last.packed", "following", last_component)
+    return found.union(pairs.mapInArrow(across, columns))
+
+
+# -- groups ---------------------------------------------------------------------------------------------------------
+
+BANDS, ROWS, SHORTEST = 12, 6, -3
+
+
+def _places(level: int, bands: int, rows: int) -> np.ndarray:
+    """Samples for the band keys of prints that last FIRST * 2**level time steps: times drawn evenly from all of them."""
+    times = np.random.default_rng(1000 + level).random((bands, rows)) * FIRST * 2.0**level
+    k = np.where(times < FIRST, 0, np.floor(np.log2(np.maximum(times, FIRST) / FIRST)).astype(int) + 1)
+    low = np.where(k > 0, FIRST * 2.0 ** (k - 1), 0)
+    size = np.where(k > 0, low, FIRST)
+    return k * SAMPLES + np.minimum(((times - low) / size * SAMPLES).astype(int), SAMPLES - 1)
+
+
+def _keys(written: str, bands: int, rows: int) -> np.ndarray:
+    """Band keys of a fingerprint: of the longest time FIRST * 2**level that it fills, and of half of that if it fills little more,
+    as a text that is a quarter shorter would have those only."""
+    x = _VALUE[np.frombuffer(written.encode(), np.uint8)]
+    last = len(x) // SAMPLES - 1
+    filled = int((x[last * SAMPLES :] < 16).sum())
+    end = filled if not last else (FIRST << (last - 1)) * (1 + filled / SAMPLES)
+    level = int(np.floor(np.log2(max(end, 1) / FIRST)))
+    if level < SHORTEST:
+        return np.array([_short_key(x)], U)
+    out = []
+    for k in [level, *([level - 1] if end < FIRST * 2.0**level * 4 / 3 and level > SHORTEST else [])]:
+        if ("places", k, bands, rows) not in _kept:
+            _kept["places", k, bands, rows] = _places(k, bands, rows)
+        own = x[_kept["places", k, bands, rows]].astype(U)
+        key = np.zeros(bands, U)
+        for r in range(rows):
+            key = key * U(17) + own[:, r]
+        out.append(mix(key * U(1 << 16) + U((k - SHORTEST) << 8) + np.arange(bands, dtype=U) + U(1 << 62)))
+    return np.concatenate(out)
+
+
+def _short_key(x: np.ndarray) -> int:
+    key = 0
+    for v in x[x < 16].tolist():
+        key = (key * 17 + v + 1) % 2**64
+    return int(mix(np.array([key], U))[0])
 
 
 def _links(written: list[str], other: np.ndarray | None, least: float) -> list[tuple[int, int]]:
     """Links (p, q) between non-empty fingerprints that reach ``least``, thinned to a spanning forest; with ``other`` only
     between those where it is set and those where it isn't."""
-    value = np.zeros(256, np.uint8)
-    value[_DIGITS] = np.arange(17)
     width = max(map(len, written))
     x = np.full((len(written), width), 16, np.uint8)
     for row, w in zip(x, written, strict=True):
-        row[: len(w)] = value[np.frombuffer(w.encode(), np.uint8)]
+        row[: len(w)] = _VALUE[np.frombuffer(w.encode(), np.uint8)]
     _, weights = sample_times(FIRST << (width // SAMPLES - 1) if width > SAMPLES else FIRST)
     alone = np.ones(len(written), bool)
     out = []
@@ -285,35 +342,69 @@ def _links(written: list[str], other: np.ndarray | None, least: float) -> list[t
     return out
 
 
-def groups(printed: DataFrame, least: float = 0.75, bands: int = 24, rows: int = 6) -> DataFrame:
+def _near(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose fingerprints reach ``least``."""
+    kind = prints.schema["doc_id"].dataType.simpleString()
+    one = prints.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("x"))
+    two = prints.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [likeness(x, y) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def groups(printed: DataFrame, least: float = 0.75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, component_id) of fingerprints (doc_id, fingerprint) by bit-sampled banding and verification.
 
-    A band key is ``rows`` sampled places of the last interval that a fingerprint fills, and of the one before, so that
-    texts whose lengths straddle a power of two still meet.  All pairs of a key's members are decided by the likeness of
-    whole fingerprints, in pairs of blocks; keys with the same members count once.  Pairs that are already connected
-    within a block need no comparison: confirmed links make the components.
+    A band key is ``rows`` samples, drawn evenly from the time that a fingerprint fills.  Equal fingerprints are one node.  The
+    members of a key are first verified against its least member, by the likeness of whole fingerprints; keys whose
+    members are then in different components have all their pairs verified, in pairs of blocks, keys with the same
+    members once.  So all near pairs that share a key are in one component, whatever the size of a key.
     """
-    places = np.random.default_rng(12).integers(0, SAMPLES, (bands, rows))
-    known = printed.where("doc_id is not null and fingerprint <> ''").groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    kind = printed.schema["doc_id"].dataType.simpleString()
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark, kind = printed.sparkSession, printed.schema["doc_id"].dataType.simpleString()
+    known = printed.where("doc_id is not null and fingerprint <> ''")
+    digest = [F.xxhash64("fingerprint", *(F.lit(i) for i in range(n))).alias(x) for n, x in enumerate(("h1", "h2"))]
+    prints = materialize(known.select("doc_id", "fingerprint", *digest), "prints", "zstd", ("doc_id", partitions_for(spark)))
+    folded = materialize(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "folded")
+    own = prints.join(folded.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "fingerprint")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, found = [], []
-            for i, x in enumerate(batch.column("fingerprint").to_pylist()):
-                samples = np.frombuffer(x.encode(), np.uint8)
-                last = (len(x) - 1) // SAMPLES
-                for level in range(max(0, last - 1), last + 1):
-                    own = samples[level * SAMPLES :][places]
-                    row += [i] * bands
-                    found += [f"{level}/{b}/{k.tobytes().decode()}" for b, k in enumerate(own)]
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row, pa.int64())), pa.array(found, pa.string())], ["node", "key"])
+            found = [_keys(x, bands, rows) for x in batch.column("fingerprint").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            keys = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(keys)], ["node", "key"])
+
+    dealt = own.mapInArrow(spread, f"node {kind}, key long")
+    low = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    held = materialize(dealt.join(low, "key"), "held")
+    found = materialize(_near(held.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), own, least), "near")
+    roots = components(found, "edit")
+    labelled = held.join(roots.withColumnRenamed("root", "label"), "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 1), ("y", 2))]
+    open_ = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("one"), F.max("label").alias("two"), *marks).where("one <> two and n > 2")
+    open_ = materialize(open_.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "open")
+    if not open_.isEmpty():
+        found = found.union(_all_pairs(held.select("node", "key").join(open_, "key"), own, least))
+        roots = components(found, "edit")
+    roots = roots.withColumnRenamed("node", "rep")
+    of = folded.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
+    some = prints.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id")
+    return some.union(printed.where("doc_id is null or coalesce(fingerprint, '') = ''").select("doc_id", F.col("doc_id").alias("component_id")))
+
+
+def _all_pairs(held: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) among all members of each key of ``held`` (node, key, n), thinned to forests; small keys share tasks."""
+    kind = own.schema["doc_id"].dataType.simpleString()
 
     def verify(rows: pa.Table) -> pa.Table:
         key, i, j, block = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block"))
         order = np.lexsort((block, j, i, key))
-        own = [x[order] for x in (key, i, j)]
-        cut = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in own], 0)))
+        parts = [x[order] for x in (key, i, j)]
+        cut = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in parts], 0)))
         node, written = rows.column("node").to_pylist(), rows.column("fingerprint")
         a, b = [], []
         for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
@@ -324,22 +415,16 @@ def groups(printed: DataFrame, least: float = 0.75, bands: int = 24, rows: int =
                 b.append(node[one[q]])
         return pa.table({"a": pa.array(a, rows.schema.field("node").type), "b": pa.array(b, rows.schema.field("node").type)})
 
-    spread = known.mapInArrow(keys, f"node {kind}, key string").select("node", F.xxhash64("key").alias("key"))
-    members = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 1), ("y", 2))]
-    sizes = spread.groupBy("key").agg(F.count("*").alias("n"), *members).where("n > 1")
-    shared = materialize(sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
-    tasks = max(partitions_for(printed.sparkSession), (shared.agg(F.sum("n")).first()[0] or 0) // 4000)
-    held = spread.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    tasks = max(partitions_for(held.sparkSession), held.count() // 4000)
+    held = held.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     held = held.select("node", "key", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
     held = held.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "i", "j")))
-    work = held.join(known, "node").select("task", "key", "i", "j", "block", "node", "fingerprint")
-    links = work.groupBy("task").applyInArrow(verify, f"a {kind}, b {kind}")
-    roots = components(links, "edit").withColumnRenamed("node", "rep")
-    of = known.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
-    return printed.join(of, "fingerprint", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    work = held.join(own.withColumnRenamed("doc_id", "node"), "node").select("task", "key", "i", "j", "block", "node", "fingerprint")
+    return materialize(work.groupBy("task").applyInArrow(verify, f"a {kind}, b {kind}"), "links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return compare_next(docs, materialize(groups(fingerprint(docs)), "groups"))

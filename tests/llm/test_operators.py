@@ -489,7 +489,7 @@ def test_walk(texts):
         assert (reached[offsets[i] : offsets[i + 1]].tolist(), int(end[i])) == _walked(t)
 
 
-def test_fingerprints(spark, sf_dir, texts, odd, none):
+def test_fingerprints(spark, sf_dir, texts, documents, odd, none):
     found = sorted(queries.QUERIES["op8_edit_embedding"](spark, sf_dir).collect(), key=lambda r: r.doc_id)
     order = [texts[i] for i in sorted(texts)]
     assert [r.doc_id for r in found] == sorted(texts)
@@ -505,6 +505,10 @@ def test_fingerprints(spark, sf_dir, texts, odd, none):
     long = [r for r in found if r.n_chars > 400]
     assert min(r.near_edited for r in long) > 0.6 and np.mean([r.near_edited for r in long]) == pytest.approx(0.75, abs=0.03)
     assert np.mean([r.near_next < 0.15 for r in found]) > 0.9
+    joined = edit_embedding.groups(edit_embedding.fingerprint(documents))
+    assert {r.doc_id: r.component_id for r in joined.collect()} == {r.doc_id: r.component_id for r in found}
+    rows = edit_embedding.compare_next(odd, edit_embedding.groups(edit_embedding.fingerprint(odd))).collect()
+    assert {r.component_id for r in rows if r.doc_id is None} == {None} and {r.doc_id: r.component_id for r in rows if r.doc_id in (0, 4, 5, 6, 7)} == {0: 0, 4: 4, 5: 4, 6: 4, 7: 7}
     rows = edit_embedding.compare_next(odd).collect()
     assert len(rows) == len(ROWS) and edit_embedding.compare_next(none).count() == 0
     for kind in ("int", "string"):
@@ -522,7 +526,7 @@ def test_fingerprints(spark, sf_dir, texts, odd, none):
 def test_near_prints_meet_without_the_least_member(spark, monkeypatch, block):
     """Near fingerprints whose only common key has a least member that is near neither of them, in one block and in several."""
     monkeypatch.setattr(edit_embedding, "BLOCK", block)
-    places = np.random.default_rng(12).integers(0, edit_embedding.SAMPLES, (24, 6))
+    places = edit_embedding._places(0, edit_embedding.BANDS, edit_embedding.ROWS)
     rng = np.random.default_rng(1)
     x, far = rng.integers(0, 16, 64), [rng.integers(0, 16, 64) for _ in range(4)]
     y, free, bands = x.copy(), set(range(64)) - set(places[0].tolist()), [set(b.tolist()) for b in places[1:]]
@@ -538,6 +542,38 @@ def test_near_prints_meet_without_the_least_member(spark, monkeypatch, block):
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
 
 
+def test_groups_of_prints_against_all_pairs(spark, documents, texts):
+    """Links of whole fingerprints, all pairs compared: nine in ten and more share a component, and nothing else does."""
+    rng = random.Random(3)
+    rows = dict(texts)
+    for i, t in list(texts.items())[:120]:  # and edited copies
+        cut = sorted(rng.sample(range(len(t) + 1), 2))
+        rows[10000 + i] = t[: cut[0]] + t[cut[0] : cut[1]].upper()[: len(t) // 10] + t[cut[0] + len(t) // 10 :]
+    prints = dict(zip(rows, edit_embedding.prints(list(rows.values())), strict=True))
+    found = {r.doc_id: r.component_id for r in edit_embedding.groups(spark.createDataFrame(list(prints.items()), "doc_id long, fingerprint string")).collect()}
+    ids = [i for i in sorted(prints) if prints[i]]
+    width = max(len(p) for p in prints.values())
+    x = np.stack([edit_embedding._VALUE[np.frombuffer(prints[i].ljust(width, ".").encode(), np.uint8)] for i in ids])
+    _, weights = edit_embedding.sample_times(edit_embedding.FIRST << (width // 64 - 1))
+    links, caught, root = 0, 0, {i: i for i in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(ids)):
+        counted = (x[a + 1 :] < 16) | (x[a] < 16)
+        share = (counted & (x[a + 1 :] == x[a])) @ weights / np.maximum(counted @ weights, 1e-9)
+        for b in np.flatnonzero((share - 1 / 16) / (15 / 16) >= 0.75).tolist():
+            links += 1
+            caught += found[ids[a]] == found[ids[a + 1 + b]]
+            p, q = find(ids[a]), find(ids[a + 1 + b])
+            root[max(p, q)] = min(p, q)
+    assert links >= 80 and caught >= 0.9 * links
+    assert all(find(i) == find(found[i]) for i in ids)
+
+
 # -- 10: near-duplicates --------------------------------------------------------------------------------------------
 
 
