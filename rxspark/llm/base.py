@@ -18,6 +18,8 @@ from ..sources import shared
 
 #: Bytes of text handled at once by the Arrow operators; one longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Bits that mark ids, in pieces of 32768 bits: 4 MB, whatever the number of ids.
+MARKS = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,19 @@ def _forget(spark: SparkSession, named: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {named}")
 
 
+def among(df: DataFrame, column: str, ids: DataFrame, own: str, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is one of ``ids`` (column ``own``), and few others that share a mark with one; or those that
+    have no mark, of which none is.  Ids are reduced to ``MARKS`` bits that every task has, so that rows with long texts
+    aren't shuffled to meet them: the few that are left can be joined."""
+    mark = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(MARKS)) + 1
+    known = ids.where(F.col(own).isNotNull()).select(mark(own).alias("mark"))
+    pieces = known.groupBy(F.bitmap_bucket_number("mark").alias("rx_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("rx_bits"))
+    marked = df.withColumn("rx_mark", mark(column)).withColumn("rx_piece", F.bitmap_bucket_number("rx_mark"))
+    marked = marked.join(F.broadcast(pieces), "rx_piece", "inner" if inside else "left")  # at most MARKS / 32768 rows of 4 KB
+    has = F.expr("conv(hex(substring(rx_bits, cast(bitmap_bit_position(rx_mark) div 8 as int) + 1, 1)), 16, 10) & shiftleft(1, cast(bitmap_bit_position(rx_mark) % 8 as int)) <> 0")
+    return marked.where(has if inside else ~F.coalesce(has, F.lit(False))).select(*df.columns)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes in ``column``; a row is never divided."""
     import numpy as np

@@ -13,10 +13,10 @@
 4.  Inside a group the components are those of all pairs, whatever its size, decided on full sets.  Groups of up to ``BLOCK``
     sets are compared whole, some to a task.  A larger one is cut into blocks, and each block is compared with the
     first and in itself: a group of m sets sends 2 m, and where most link, as in clusters of copies, one component is nearly
-    all of it.  Only pairs of different components are still open.  They are decided in the way that sends fewer rows:
-    the nodes outside the largest component against all of the group, in blocks, leaving out sizes too far apart; or those
-    that share a prefix key, leaving out keys whose nodes are in one component.  Both find every link.
-    A task multiplies 0/1 matrices and keeps a spanning forest of the links that it finds: components are the same as
+    all of it.  Only pairs of different components are still open.  They are decided in the way that sends fewer sets, as counted
+    for each group: the nodes outside the largest component against all of the group, in blocks, leaving out sizes too far
+    apart; or those that share a prefix key, leaving out keys whose nodes are in one component.  Both find every link.
+    A task multiplies 0/1 matrices and links each set with the least of its component there: components are the same as
     with all links, and fewer rows leave than sets went in.
 5.  Components of the confirmed links give ``component_id``.
 
@@ -35,11 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .base import chunks, materialize, partitions_for, release, table
+from .base import among, chunks, materialize, partitions_for, release, table
 from .textscan import U, mix
 
 WORDS, PERCENT, ROWS, BANDS = 5, 75, 6, 48
-BLOCK, SMALL = 128, 64
+#: Sets that are compared at once with each other or with as many others, and the bytes that they may have.
+BLOCK, BLOCK_BYTES, SMALL = 512, 4 << 20, 64
 #: Shingles that come last in prefixes, as many texts have them: this many at most, each of over 1/OFTEN of the texts.
 FREQUENT, OFTEN = 4096, 2000
 _STEP = 1 << 17
@@ -229,6 +230,30 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"node {kind}, shingles binary")
 
 
+def _stars(links: list[tuple[int, int]], order: list) -> list[tuple[int, int]]:
+    """The same components as links of every member with the one that is first in ``order``."""
+    near: dict[int, list[int]] = {}
+    for p, q in links:
+        near.setdefault(p, []).append(q)
+        near.setdefault(q, []).append(p)
+    out, seen = [], set()
+    for k in sorted(near, key=lambda k: order[k]):
+        queue = [k] if k not in seen else []
+        seen.add(k)
+        while queue:
+            for other in near[queue.pop()]:
+                if other not in seen:
+                    seen.add(other)
+                    queue.append(other)
+                    out.append((other, k))
+    return out
+
+
+def order_of(node) -> tuple:
+    """A key that sorts nodes as Spark does: nulls first, structs by their fields."""
+    return tuple((x is not None, x if x is not None else 0) for x in (node.values() if isinstance(node, dict) else [node]))
+
+
 def _decide(work: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of ``work`` (node, task, unit, side): in each unit all pairs are decided, or with sides 1 and 2 those
     between the sides.  A task has one or more units."""
@@ -246,35 +271,41 @@ def _decide(work: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             if y - x < 2 or sides[one[0]] and first in (0, len(one)):
                 continue
             sets = [np.frombuffer(held[int(k)].as_py(), "<u8") for k in one]
-            for p, q in _forest(sets, first if sides[one[0]] else None, percent):
+            for p, q in _stars(_forest(sets, first if sides[one[0]] else None, percent), [order_of(nodes[int(k)]) for k in one]):
                 a.append(nodes[one[p]])
                 b.append(nodes[one[q]])
         release()
         return pa.table({"a": pa.array(a, rows.schema.field("node").type), "b": pa.array(b, rows.schema.field("node").type)})
 
-    own = docs.select("doc_id", "text").join(work.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = among(docs.select("doc_id", "text"), "doc_id", work.select("node").distinct(), "node")  # others go by the join
     return work.join(_sets_of(own), "node").groupBy("task").applyInArrow(run, f"a {kind}, b {kind}")
 
 
+def _blocks(sets: Column, shingles: Column) -> Column:
+    """Blocks for so many sets with so many shingles in all."""
+    return F.ceil(F.greatest(sets / BLOCK, 8 * shingles / BLOCK_BYTES)).cast("int")
+
+
 def _block(of: str, salt: int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """Work of the first round on ``members`` (node, root, n): small groups whole, some to a task; of a larger one every
-    block with the first, all pairs of both."""
+    """Work of the first round on ``members`` (node, root, size, blocks): small groups whole, some to a task; of a larger one
+    every block with the first, all pairs of both."""
     tasks = max(partitions_for(members.sparkSession), members.count() // 500)
-    whole = members.where(F.col("n") <= BLOCK).select("node", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.xxhash64("root").alias("unit"), F.lit(0).alias("side"))
-    large = members.where(F.col("n") > BLOCK).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", _block("blocks", 1))
+    whole = members.where("blocks = 1").select("node", F.pmod(F.xxhash64("root"), F.lit(tasks)).alias("task"), F.xxhash64("root").alias("unit"), F.lit(0).alias("side"))
+    large = members.where("blocks > 1").withColumn("block", _block("blocks", 1))
     large = large.withColumn("with", F.explode(F.when(F.col("block") == 0, F.expr("sequence(0, blocks - 1)")).otherwise(F.array("block"))))
     unit = F.xxhash64("root", "with")
     return whole.union(large.select("node", unit.alias("task"), unit.alias("unit"), F.lit(0).alias("side")))
 
 
 def _rest_pairs(open_: DataFrame) -> DataFrame:
-    """Work on ``open_`` (node, root, class, rest): each node of the rest with every node of its group whose class is next to its
-    own, in blocks of both.  Sizes that differ by more than a class are too far apart to link."""
-    sizes = open_.groupBy("root", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all_blocks"), F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("rest_blocks"))
+    """Work on ``open_`` (node, root, size, class, rest): each node of the rest with every node of its group whose class is next to
+    its own, in blocks of both.  Sizes that differ by more than a class are too far apart to link."""
+    own_size = F.when(F.col("rest"), F.col("size")).otherwise(0)
+    sizes = open_.groupBy("root", "class").agg(_blocks(F.count("*"), F.sum("size")).alias("all_blocks"), _blocks(F.count_if("rest"), F.sum(own_size)).alias("rest_blocks"))
     own = open_.join(sizes, ["root", "class"])
     near = F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("near")
     theirs = sizes.select("root", F.col("class").alias("near"), F.col("all_blocks").alias("near_all"), F.col("rest_blocks").alias("near_rest"))
@@ -285,9 +316,10 @@ def _rest_pairs(open_: DataFrame) -> DataFrame:
     return left.union(right).select("node", F.col("unit").alias("task"), "unit", "side")
 
 
-def _prefix_pairs(open_: DataFrame, docs: DataFrame, last: np.ndarray, percent: int) -> DataFrame:
-    """Work on ``open_`` (node, root, label): nodes of a group that have a shingle of their prefixes in common, in pairs of blocks;
-    shingles whose nodes all have one label are left out.  Two sets that reach ``percent`` have such a shingle."""
+def _prefix_keys(open_: DataFrame, docs: DataFrame, last: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(held, units) for ``open_`` (node, root, label): held (node, unit), the prefix keys of each node within its group; units (unit,
+    root, n, blocks), those that nodes with different labels have in common, once for equal nodes.  Two sets that reach
+    ``percent`` have a prefix key in common."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,46 +328,57 @@ def _prefix_pairs(open_: DataFrame, docs: DataFrame, last: np.ndarray, percent:
             who = np.repeat(np.arange(batch.num_rows), np.diff(cut))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who)), pa.array(first.view(np.int64))], ["node", "key"])
 
-    open_ = open_.select("node", "root", "label").distinct()
-    own = docs.select("doc_id", "text").join(open_.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    held = own.mapInArrow(run, f"node {kind}, key long").distinct().join(open_, "node").select("node", "label", F.xxhash64("root", "key").alias("unit"))
+    own = among(docs.select("doc_id", "text"), "doc_id", open_, "node")
+    held = own.mapInArrow(run, f"node {kind}, key long").distinct().join(open_.select("node", "root", "label", "size"), "node")
+    held = materialize(held.select("node", "root", "label", "size", F.xxhash64("root", "key").alias("unit")), "held")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(x) for x, salt in (("x", 2), ("y", 3))]
-    units = held.groupBy("unit").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), *marks).where("low <> high")
-    # shingles with the same nodes count once; small units share tasks
-    units = materialize(units.groupBy("n", "x", "y").agg(F.min("unit").alias("unit")).select("unit", "n"), "units")
-    tasks = max(partitions_for(docs.sparkSession), int(units.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0) // 500)
-    held = held.join(units, "unit").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", _block("blocks", 4))
+    units = held.groupBy("unit").agg(F.min("root").alias("root"), F.count("*").alias("n"), F.sum("size").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), *marks).where("low <> high")
+    units = units.groupBy("root", "n", "size", "x", "y").agg(F.min("unit").alias("unit")).select("unit", "root", "n", _blocks(F.col("n"), F.col("size")).alias("blocks"))
+    return held.select("node", "unit"), materialize(units, "units")
+
+
+def _prefix_pairs(held: DataFrame, units: DataFrame) -> DataFrame:
+    """Work on the nodes of each unit, in pairs of blocks; small units share tasks."""
+    tasks = max(partitions_for(held.sparkSession), int(units.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // 500)
+    held = held.join(units.select("unit", "blocks"), "unit").withColumn("block", _block("blocks", 4))
     held = held.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    side = F.when(F.col("blocks") == 1, 0).when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
+    side = F.when(low == high, 0).when(F.col("block") == low, 1).otherwise(2)
     held = held.select("node", F.xxhash64("unit", low, high).alias("unit"), side.alias("side"), "blocks")
     return held.select("node", F.when(F.col("blocks") == 1, F.pmod("unit", F.lit(tasks))).otherwise(F.col("unit")).alias("task"), "unit", "side")
 
 
-def confirm(members: DataFrame, sizes: DataFrame, docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the confirmed links within the candidate groups ``members`` (node, root): the same components as from
-    all pairs of each group, decided on the sets of ``docs``.  ``sizes``: (node, size) of all sets of a node; ``last``: shingles
-    that come last in prefixes."""
-    sized = materialize(members.join(members.groupBy("root").agg(F.count("*").alias("n")), "root"), "members")
+def confirm(groups: DataFrame, sizes: DataFrame, docs: DataFrame, last: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the confirmed links within the candidate ``groups`` (node, root): the same components as from all pairs of
+    each group, decided on the sets of ``docs``.  ``sizes``: (node, size) of all sets of a node; ``last``: shingles that come
+    last in prefixes."""
+    one = sizes.groupBy("node").agg(F.sum("size").alias("size"), F.min("size").alias("least"), F.max("size").alias("most"))
+    members = materialize(groups.join(one, "node"), "members")
+    sized = members.join(members.groupBy("root").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks")), "root")
     links = materialize(_decide(_first_pairs(sized), docs, percent), "links")
-    large = sized.where(F.col("n") > BLOCK)
+    found = components(links, "links")
+    large = sized.where("blocks > 1")
     if large.isEmpty():
-        return components(links, "links")
+        return found
     # What is open in a large group are pairs of different components.  All but those of its largest one have a node outside it.
-    labelled = large.join(components(links, "links").withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialize(labelled, "labelled")
-    parts = labelled.join(sizes.groupBy("node").agg(F.sum("size").alias("size")), "node").groupBy("root", "label").agg(F.count("*").alias("k"), F.sum("size").alias("shingles"))
-    parts = parts.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts"))
-    rest = F.col("n") - F.col("most")
-    by_blocks = rest * F.ceil(F.col("n") / BLOCK) + F.col("n") * F.ceil(rest / BLOCK)  # rows of either way, both of which are exact
-    parts = parts.where("parts > 1").select("root", "main", (by_blocks <= F.col("shingles") * (100 - percent) / 100).alias("blocks"))
-    classes = sizes.select("node", F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent)) + 1e-9).alias("class")).distinct()
-    open_ = materialize(labelled.join(parts, "root").join(classes, "node").select("node", "root", "label", "class", (F.col("label") != F.col("main")).alias("rest"), "blocks"), "open")
-    for way, work in ((True, _rest_pairs), (False, lambda x: _prefix_pairs(x, docs, last, percent))):
-        own = open_.where(F.col("blocks") == way)
-        if not own.isEmpty():
-            links = links.union(_decide(work(own), docs, percent))
-    return components(links, "links")
+    labelled = materialize(large.join(found.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    parts = labelled.groupBy("root", "label").agg(F.count("*").alias("k"), F.sum("size").alias("size"))
+    parts = parts.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max_by("size", F.struct("k", "label")).alias("main_size"), F.max("k").alias("most"), F.sum("k").alias("n"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    rest, rest_size = F.col("n") - F.col("most"), F.col("size") - F.col("main_size")
+    by_blocks = rest * _blocks(F.col("n"), F.col("size")) + F.col("n") * _blocks(rest, rest_size)  # sets that are sent
+    parts = materialize(parts.select("root", "main", by_blocks.alias("by_blocks")), "parts")
+    open_ = labelled.drop("blocks").join(parts.select("root", "main"), "root")
+    held, units = _prefix_keys(open_, docs, last, percent)
+    by_keys = units.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_keys"))
+    ways = materialize(parts.join(by_keys, "root").select("root", (F.col("by_blocks") <= F.col("by_keys")).alias("whole")), "ways")
+    step = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    whole = open_.join(ways.where("whole"), "root").withColumn("class", F.explode(F.sequence(step("least"), step("most"))))
+    work = _rest_pairs(whole.withColumn("rest", F.col("label") != F.col("main")))
+    work = work.union(_prefix_pairs(held, units.join(ways.where("not whole").select("root"), "root", "left_semi")))
+    more = materialize(_decide(materialize(work, "work"), docs, percent), "links")
+    if more.isEmpty():
+        return found
+    return components(links.union(more), "links")
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -368,13 +411,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+#: The same rows by comparing every two documents that share a shingle, and all that can be reached over links.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+    s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(CASE WHEN len(l) >= 5 THEN [array_to_string(l[i : i + 4], ' ') for i in range(1, len(l) - 3)] WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS x FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r(node, root) AS (SELECT a, b FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.root),
+    c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.root, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.root, d.doc_id) AS kept
+    FROM documents AS d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id"""
+
+
+def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``drop``; only those that share a mark with one are shuffled."""
+    return among(docs, "doc_id", drop, "doc_id", False).union(among(docs, "doc_id", drop, "doc_id").join(drop, "doc_id", "left_anti").select(*docs.columns))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the one with the least doc_id; rows whose ids are null or repeated are told apart by
     numbers of their own, and null ids come last."""
     repeated = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         drop = materialize(cluster(docs).where("doc_id <> component_id").select("doc_id"), "copies")
-        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+        return _without(docs, drop).select(*docs.columns)
     row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
     name = lambda number: F.struct(F.isnull("row.doc_id").alias("none"), F.col("row.doc_id").alias("id"), number.alias("number")).alias("doc_id")
     theirs = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").select(row)
@@ -382,4 +443,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").select(row).select(name(F.lit(-1).cast("long")), "row")
     every = plain.union(theirs)
     drop = materialize(cluster(every.select("doc_id", "row.text")).where("doc_id <> component_id").select("doc_id"), "copies")
-    return every.join(drop, "doc_id", "left_anti").select("row.*")
+    return _without(every, drop).select("row.*")

@@ -17,4 +17,4 @@ QUERIES = {
     "op9_quality_pu": quality_pu.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_minmax_hash": minhash.SQL}
