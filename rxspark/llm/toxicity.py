@@ -128,19 +128,22 @@ def fit(rows: DataFrame) -> Model | None:
     return Model(kept[left], *_train(np.searchsorted(left, term[has]), sentence[has], doc, label, weight, len(left), penalty / 10))
 
 
+def _slope(x: np.ndarray, b: float, term: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The gradient of the mean negative log-likelihood of the noisy-or, by the weights and the bias."""
+    p = 1 / (1 + np.exp(-(b + np.bincount(sentence, x[term], len(doc)))))
+    clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label))  # log of "no sentence is toxic"
+    of_doc = np.where(label == 1, -np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), 1.0) * weight
+    g = p * of_doc[doc] / len(label)
+    return np.append(np.bincount(term, g[sentence], len(x)), g.sum())
+
+
 def _train(term: np.ndarray, sentence: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray, n: int, penalty: float) -> tuple[np.ndarray, float]:
     """Adam steps on the noisy-or likelihood; each weight is shrunk by the penalty times its own step size, so that a
     rare term gains nothing from the larger steps that it takes."""
     x, b = np.zeros(n), -4.0
     m, v, rate = np.zeros(n + 1), np.zeros(n + 1), 0.1
-    total = len(label)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-(b + np.bincount(sentence, x[term], len(doc)))))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), total)  # log of "no sentence is toxic"
-        toxic = -np.expm1(clean)
-        of_doc = np.where(label == 1, -np.exp(clean) / np.maximum(toxic, 1e-9), 1.0) * weight
-        g = p * of_doc[doc] / total
-        grad = np.append(np.bincount(term, g[sentence], n), g.sum())
+        grad = _slope(x, b, term, sentence, doc, label, weight)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         size = rate / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         move = size * (m / (1 - 0.9**step))

@@ -421,6 +421,97 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.fit(toxicity.sample(odd, labels.where("toxic = 0"), 5, 0)) is None
 
 
+def test_noisy_or_slope():
+    """The gradient of training against differences of the likelihood in plain Python."""
+    rng = random.Random(6)
+    docs = [[[rng.randrange(5) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, 3))] for _ in range(12)]
+    label, weight = np.array([i % 2 if d else 0 for i, d in enumerate(docs)]), np.array([1.0 + i % 3 for i in range(12)])
+    sentences = [(d, set(s)) for d, own in enumerate(docs) for s in own]
+    term = np.array([t for _, s in sentences for t in sorted(s)])
+    sentence = np.array([k for k, (_, s) in enumerate(sentences) for _ in s])
+    x, b = np.array([rng.uniform(-1, 1) for _ in range(5)]), -0.7
+
+    def loss(x, b):
+        total = 0.0
+        for d, own in enumerate(docs):
+            clean = math.prod(1 - 1 / (1 + math.exp(-(b + sum(x[t] for t in set(s))))) for s in own)
+            total -= weight[d] * math.log(1 - clean if label[d] else clean)
+        return total / len(docs)
+
+    slope = toxicity._slope(x, b, term, sentence, np.array([d for d, _ in sentences]), label, weight)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-6
+        up, down = (loss(x + sign * step[:5], b + sign * step[5]) for sign in (1, -1))
+        assert slope[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_scores_against_python(spark, texts):
+    """The noisy-or of sentences with some weights, term by term."""
+    some = {i: texts[i] for i in sorted(texts)[:40]} | {10**6: "", 10**6 + 1: "One. two!\nTHREE three? ..."}
+    words = sorted({w for t in some.values() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t.translate(LOWER))})[::7]
+    hashes = textscan.word_hashes(textscan.words(pa.array(words), "terms"))
+    weights = {w: ((k * 37) % 11 - 4) / 2 for k, w in enumerate(words)}
+    order = np.argsort(hashes)
+    model = toxicity.Model(hashes[order], np.array([weights[words[k]] for k in order]), -2.0)
+    found = by_id(toxicity.score(spark.createDataFrame(list(some.items()), "doc_id long, text string"), model))
+    for i, t in some.items():
+        bags = [set(re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", s.translate(LOWER))) for s in re.split(r"[\n!.?]", t)]
+        p = [1 / (1 + math.exp(2.0 - sum(weights.get(w, 0.0) for w in bag))) for bag in bags if bag]
+        assert found[i].score == pytest.approx(1 - math.prod(1 - q for q in p), abs=1e-9) and found[i].n_sentences == len(p)
+        assert math.copysign(1, found[i].score) == 1
+
+
+def test_quality_features_against_python(texts):
+    rows = [*list(texts.values())[:80], *(t for _, t in ROWS)]
+    found = quality_pu.features(pa.record_batch([pa.array(rows, pa.string())], ["text"]))
+    for text, x in zip(rows, found, strict=True):
+        text = text or ""
+        w = WORDS.findall(text.translate(LOWER))
+        raw = [len(v.encode()) for v in WORDS.findall(text)]
+        lines = [y for y in text.split("\n") if y]
+        windows = [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+        share = lambda cs: sum(c in cs for c in text) / max(sum(raw), 1)
+        expected = {
+            "symbols": share("#*$%&|<>"), "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "exclaims": share("!?"), "marks": share(".,;:'\"-_=+/\\()[]{}~^`@"),
+            "wide": sum(ord(c) >= 0x80 for c in text) / max(sum(raw), 1), "variety": len(set(w)) / len(w) ** 0.8 if w else 0, "commonest": max(Counter(w).values()) / len(w) if w else 0,
+            "stutter": sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(len(w), 1), "window_repeats": 1 - len(set(windows)) / len(windows) if w else 0, "word_length": sum(raw) / max(len(w), 1),
+            "line_repeats": 1 - len(set(lines)) / len(lines) if w else 0, "line_length": len(w) / max(len(lines), 1), "log_words": math.log1p(len(w)),
+        }
+        assert x.tolist() == pytest.approx([expected[f] for f in quality_pu.FEATURES], abs=1e-9), text[:80]
+
+
+def test_rules_verdicts_against_python(spark):
+    """Cutoffs and verdicts of a table with enough labels, certified in plain Python."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(5000):
+        bad = i % 5 == 0
+        words = [f"w{rng.randrange(10**6)}" + ("$$$$" if bad and rng.random() < 0.5 else "") for _ in range(12)]
+        rows.append((i, " ".join(words), "xx"))
+        if i % 10 < 9:
+            marks.append((i, int(not bad)))
+    rows += [(9000 + i, rows[5 * i][1], "yy") for i in range(40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    measured = quality_rules.measure(docs)
+    cuts = {r.stratum: r.asDict() for r in quality_rules.fit(measured, labels).collect()}
+    assert set(cuts) == {"xx"}
+    good = dict(marks)
+    share = {i: (s[2] / s[1] if s[1] else 0.0) for i, t, _ in rows for s in [_rule_stats(t)]}
+    each, alpha = quality_rules.RISK / len(quality_rules.RULES), quality_rules.DELTA / len(quality_rules.RULES)
+    n, best = sum(good.values()), (0, None)
+    for level, cut in enumerate(quality_rules.RULES["symbols"][1]):
+        k, b = sum(share[i] > cut for i in good if good[i]), sum(share[i] > cut for i in good if not good[i])
+        if sum(math.comb(n, j) * each**j * (1 - each) ** (n - j) for j in range(k + 1)) > alpha:
+            break
+        best = max(best, (b - quality_rules.COST * k, -level, cut)[:1] + (cut,), key=lambda x: x[0])
+    assert cuts["xx"]["cut_symbols"] == best[1] is not None
+    for r in quality_rules.judge(measured, quality_rules.fit(measured, labels)).collect():
+        words, *_, repeats = _rule_stats(r.text)
+        base = words < 10 or 100 * repeats > 20 * words
+        assert r.rule_kept == (not base and not (r.lang == "xx" and share[r.doc_id] > best[1]))
+
+
 def test_quality_pu(spark, odd, none, labels, documents):
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (3000, len(quality_pu.FEATURES))), rng.normal(2.5, 1, (800, len(quality_pu.FEATURES)))
