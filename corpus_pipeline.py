@@ -3,6 +3,11 @@
 Each stage gets all rows that the one before it kept and returns the columns of ``documents``; the last returns the packed
 pieces.  Stages are written as Parquet in the shared folder and read again, so a lost executor never costs more than
 the stage at hand.
+
+Null and empty texts have too few words and go with the first stage.  Rows with a null doc_id pass like others: they are never
+trained on, and of a group of near-duplicates they are kept only if no row with an id is in it.  Rows that repeat a doc_id
+are judged each; of equal or near texts one row stays.  Texts of any length are judged, redacted and packed whole.  Other
+columns, whatever their names, stay as they are up to the last stage; an empty table gives an empty one.
 """
 
 from __future__ import annotations
