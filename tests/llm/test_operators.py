@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rxspark.llm import bpe, bpe_queries, edit_embedding, elias_fano, minhash, ngram_trie, packing, pii, quality_pu, quality_rules, queries, textscan, token_counts, toxicity
+from rxspark.llm import base, bpe, bpe_queries, edit_embedding, elias_fano, minhash, ngram_trie, packing, pii, quality_pu, quality_rules, queries, textscan, token_counts, toxicity
 
 from .conftest import LONG, LOWER, PROSE, ROWS, WORDS
 
@@ -42,6 +42,16 @@ def test_words_and_hashes(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_marks_of_ids(spark):
+    """Every row is inside or outside, those of marked ids are inside, null ids outside; few others share a mark."""
+    df = spark.range(5000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    ids = spark.createDataFrame([(i,) for i in (*range(0, 900), None, 10**12)], "own long")
+    inside, outside = ([r.doc_id for r in base.among(df, "doc_id", ids, "own", x).collect()] for x in (True, False))
+    assert sorted(inside + outside, key=str) == sorted((r.doc_id for r in df.collect()), key=str)
+    assert {i for i in range(900) if i % 100 != 7} <= set(inside) and None not in inside and len(inside) < 960
+    assert base.among(df, "doc_id", ids.where("false"), "own").count() == 0 and base.among(df, "doc_id", ids.where("false"), "own", False).count() == 5000
+
+
 # -- 1: token counts ------------------------------------------------------------------------------------------------
 
 
