@@ -369,7 +369,8 @@ def groups(printed: DataFrame, least: float = 0.75, bands: int = BANDS, rows: in
     digest = [F.xxhash64("fingerprint", *(F.lit(i) for i in range(n))).alias(x) for n, x in enumerate(("h1", "h2"))]
     prints = materialize(known.select("doc_id", "fingerprint", *digest), "prints", "zstd", ("doc_id", partitions_for(spark)))
     folded = materialize(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "folded")
-    own = prints.join(folded.select(F.col("node").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", "fingerprint")
+    # by the id alone, whose buckets the prints lie in: they are never shuffled
+    own = prints.join(folded.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "fingerprint")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
