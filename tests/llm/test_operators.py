@@ -403,6 +403,20 @@ def test_binomial_tail_and_certificates(spark):
     assert cuts == {("en", "symbols"): 0.5, ("de", "symbols"): None, ("fr", "marks"): None}
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    """1,200 strata with the same 60 good and 5 bad documents, and 3,000 strata of one document that take nothing from them."""
+    stats = [F.lit(20 if s == "n_words" else 100 if s == "word_chars" else 1).cast("long").alias(f"rule_{s}") for s in quality_rules._STATS if s != "n_symbols"]
+    rows = spark.range(1200 * 65 + 3000).withColumn("own", F.expr("if(id < 78000, id div 65, id)"))
+    bad = F.expr("id < 78000 and id % 65 >= 60")
+    measured = rows.select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "own").alias("rule_stratum"), F.when(bad, 80).otherwise(0).cast("long").alias("rule_n_symbols"), *stats)
+    labels = rows.select(F.col("id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    # 0.81 ** 60 is under 0.05 / 5 / 1200, not under 0.05 / 5 / 4200; one good document alone is never enough
+    cuts = quality_rules.fit(measured, labels, risk=0.95)
+    assert cuts.count() == 4200 and cuts.where("cut_symbols = 0.7").count() == 1200
+    judged = quality_rules.judge(measured, cuts)
+    assert judged.count() == 81000 and judged.where("not rule_kept").count() == judged.where("not rule_kept and rule_n_symbols = 80").count() == 6000
+
+
 # -- 6 and 9: classifiers -------------------------------------------------------------------------------------------
 
 
