@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +192,10 @@ def _compare(texts: list[str]) -> list[tuple]:
 _COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 _TYPES = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+#: Columns of the ends of ranges, null in other rows.
+_END_COLUMNS = "range int, at_last boolean, packed binary"
+_END_NAMES = [c.split()[0] for c in _END_COLUMNS.split(", ")]
+_END_TYPES = [pa.int32(), pa.bool_(), pa.binary()]
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -221,7 +226,9 @@ def compare_next(docs: DataFrame, components: DataFrame | None = None) -> DataFr
 
     Rows are dealt by ranges of doc_id and sorted; inside a range a row's successor follows it.  What crosses ranges is
     one text at either end of each: the last row of a range meets the first of the next range that has rows, by a join on
-    the numbers of the ranges.  The components are dealt along, a row without a text before the texts of its id.
+    the numbers of the ranges.  Both ends come from the pass that compares the rows inside and are stored with its rows: the
+    bounds of ranges are sampled, so that ranges dealt once more would be others, and a row would meet a wrong successor.  The
+    components are dealt along, a row without a text before the texts of its id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _packed(docs).withColumn("component", F.lit(None).cast(kind))
@@ -234,6 +241,15 @@ def compare_next(docs: DataFrame, components: DataFrame | None = None) -> DataFr
         columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_TYPES), _TYPES, strict=True)]
         return pa.RecordBatch.from_arrays([ids, *columns, own], ["doc_id", *_NAMES, "component_id"])
 
+    def whole(rows: pa.RecordBatch) -> pa.RecordBatch:
+        nothing = [pa.nulls(rows.num_rows, t) for t in _END_TYPES]
+        return pa.RecordBatch.from_arrays([*rows.columns, *nothing], [*rows.schema.names, *_END_NAMES])
+
+    def end(at_last: bool, ids: pa.Array, own: pa.Array, packed: bytes) -> pa.RecordBatch:
+        values = TaskContext.get().partitionId(), at_last, packed
+        columns = [ids, *(pa.nulls(1, t) for t in _TYPES), own, *(pa.array([v], t) for v, t in zip(values, _END_TYPES, strict=True))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *_NAMES, "component_id", *_END_NAMES])
+
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = carried = None  # (id, text, component) of the row before this chunk; the component given last
         for part in chunks(batches, "packed", CHUNK_BYTES // 2):
@@ -249,10 +265,14 @@ def compare_next(docs: DataFrame, components: DataFrame | None = None) -> DataFr
                 continue
             if last is not None:
                 ids, texts, own = pa.concat_arrays([last[0], ids]), [last[1], *texts], pa.concat_arrays([last[2], own])
+            else:
+                yield end(False, ids.slice(0, 1), own.slice(0, 1), _pack(texts[0]))
             found = _compare(texts)
             if found:
-                yield batch(ids.slice(0, len(found)), own.slice(0, len(found)), found)
+                yield whole(batch(ids.slice(0, len(found)), own.slice(0, len(found)), found))
             last = ids.slice(len(ids) - 1, 1), texts[-1], own.slice(len(own) - 1, 1)
+        if last is not None:
+            yield end(True, last[0], last[2], _pack(last[1]))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -260,17 +280,15 @@ def compare_next(docs: DataFrame, components: DataFrame | None = None) -> DataFr
                 yield batch(part.column("doc_id").slice(i, 1), part.column("component").slice(i, 1), _compare([_unpack(one), _unpack(other)]))
 
     columns = f"doc_id {kind}, {_COLUMNS}, component_id {kind}"
-    real = F.col("packed").isNotNull()
-    found = dealt.sortWithinPartitions("doc_id", real, "tie").mapInArrow(inside, columns)
-    place, row = F.when(real, F.struct("doc_id", "tie")), F.when(real, F.struct("doc_id", "packed"))
-    ends = dealt.groupBy(F.spark_partition_id().alias("range")).agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"), F.max_by("component", F.when(~real, F.col("doc_id"))).alias("component")).where("last is not null")
+    compared = dealt.sortWithinPartitions("doc_id", F.col("packed").isNotNull(), "tie").mapInArrow(inside, f"{columns}, {_END_COLUMNS}")
+    compared = materialize(compared, "compared", "zstd")
+    firsts = compared.where("not at_last").select(F.col("range").alias("following_range"), F.col("packed").alias("following"))
+    lasts = compared.where("at_last").select("range", "doc_id", "packed", F.col("component_id").alias("component"))
     order = Window.orderBy("range")  # of the numbers alone, one for each range
     following = F.coalesce(F.lead("range").over(order), F.min("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    numbers = ends.select("range").select("range", following.alias("following_range"))
-    firsts = ends.select(F.col("range").alias("following_range"), F.col("first.packed").alias("following"))
-    pairs = ends.join(numbers, "range").join(firsts, "following_range")
-    last_component = F.when(F.col("last.doc_id").isNotNull(), F.col("component")).alias("component")
-    pairs = pairs.select("last.doc_id", "last.packed", "following", last_component)
+    numbers = lasts.select("range").select("range", following.alias("following_range"))
+    pairs = lasts.join(numbers, "range").join(firsts, "following_range").select("doc_id", "packed", "following", "component")
+    found = compared.where("at_last is null").select("doc_id", *_NAMES, "component_id")
     return found.union(pairs.mapInArrow(across, columns))
 
 
@@ -365,9 +383,9 @@ def groups(printed: DataFrame, least: float = 0.75, bands: int = BANDS, rows: in
     members once.  So all near pairs that share a key are in one component, whatever the size of a key.
     """
     spark, kind = printed.sparkSession, printed.schema["doc_id"].dataType.simpleString()
-    known = printed.where("doc_id is not null and fingerprint <> ''")
     digest = [F.xxhash64("fingerprint", *(F.lit(i) for i in range(n))).alias(x) for n, x in enumerate(("h1", "h2"))]
-    prints = materialize(known.select("doc_id", "fingerprint", *digest), "prints", "zstd", ("doc_id", partitions_for(spark)))
+    every = materialize(printed.select("doc_id", "fingerprint", *digest), "prints", "zstd", ("doc_id", partitions_for(spark)))
+    prints = every.where("doc_id is not null and fingerprint <> ''")
     folded = materialize(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "folded")
     # by the id alone, whose buckets the prints lie in: they are never shuffled
     own = prints.join(folded.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "fingerprint")
@@ -394,7 +412,7 @@ def groups(printed: DataFrame, least: float = 0.75, bands: int = BANDS, rows: in
     roots = roots.withColumnRenamed("node", "rep")
     of = folded.withColumnRenamed("node", "rep").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     some = prints.select("doc_id", "h1", "h2").join(of, ["h1", "h2"]).select("doc_id", "component_id")
-    return some.union(printed.where("doc_id is null or coalesce(fingerprint, '') = ''").select("doc_id", F.col("doc_id").alias("component_id")))
+    return some.union(every.where("doc_id is null or coalesce(fingerprint, '') = ''").select("doc_id", F.col("doc_id").alias("component_id")))
 
 
 def _all_pairs(held: DataFrame, own: DataFrame, least: float) -> DataFrame:

@@ -637,6 +637,40 @@ def test_fingerprints(spark, sf_dir, texts, documents, odd, none):
     assert groups[5] == groups[6] == 4 and groups[7] == 7 and groups[0] == 0
 
 
+def test_texts_are_walked_and_dealt_once(spark, odd):
+    """Banding asks once for each fingerprint; texts are read twice to be compared, once for the bounds of the ranges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = odd.select("doc_id", "text").localCheckpoint()
+    printed = edit_embedding.fingerprint(docs).localCheckpoint()
+    found = edit_embedding.groups(printed.mapInArrow(counted, printed.schema)).localCheckpoint()
+    assert seen.value == len(ROWS)
+    assert Counter(r.doc_id for r in found.collect()) == Counter(i for i, _ in ROWS)
+    assert all(r.component_id == r.doc_id for r in found.collect() if r.doc_id in (None, 0, 1))
+    seen.value = 0
+    rows = edit_embedding.compare_next(docs.mapInArrow(counted, docs.schema), found).collect()
+    assert len(rows) == len(ROWS) and seen.value <= 2 * len(ROWS)
+
+
+@pytest.mark.parametrize("grouped", [True, False])
+def test_rows_meet_their_successors_across_sampled_ranges(spark, grouped):
+    """Bounds of ranges from a few ids only, as on large tables, where every deal has others."""
+    texts = [f"text {i} " * 3 for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "3")
+    try:
+        found = {r.doc_id: r.edited_sha256 for r in edit_embedding.compare_next(docs, docs.selectExpr("doc_id", "doc_id as component_id") if grouped else None).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    cuts = [len(t) // 4 for t in texts]
+    assert found == {i: hashlib.sha256((t[: len(t) - c] + texts[(i + 1) % 3000][:c]).encode()).hexdigest() for i, (t, c) in enumerate(zip(texts, cuts, strict=True))}
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_near_prints_meet_without_the_least_member(spark, monkeypatch, block):
     """Near fingerprints whose only common key has a least member that is near neither of them, in one block and in several."""
